@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockmill.llm import mixing, packing
-from blockmill.llm.common import table
+from pyspark.sql import functions as F
+
+from blockmill.llm import mixing, packing, quality, toxicity
+from blockmill.llm.common import id_crc, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -16,6 +18,23 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _decided(scored: DataFrame, held_out, least: float, *more: str) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"), *more)
+
+
+def op3_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return _decided(quality.score_quality(docs.select("doc_id", "text"), model), id_crc(F.col("doc_id")) % 3 == 1, 0.5, "n_passages")
+
+
+def op6_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text"), model).withColumn("n_offending", F.size("offending"))
+    return _decided(scored, id_crc(F.col("doc_id")) % 4 == 2, 0.3, "n_offending")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
