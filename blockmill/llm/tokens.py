@@ -8,11 +8,16 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 MEMO = 800_000
 _ODD = re.compile(r"\s \s")
+#: Between an ASCII letter or digit and ASCII punctuation both tokenizers cut before any merge.
+_CUT = re.compile(r"(?<=[A-Za-z0-9])(?=[.,;:!?|%$&*#])")
+#: Without these, lower case goes letter by letter and nothing composes.
+_BEYOND_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
 _encoders: dict = {}
 
 
@@ -35,30 +40,39 @@ class WordEncoder:
         self.blank = spec["pre_tokenizer"]["type"] == "ByteLevel"
         if not self.blank and spec["model"].get("end_of_word_suffix") != "</w>" or self.blank and spec["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError(f"{path}: only tokenizers that cut at white space are supported")
-        self.memo: dict[str, bytes] = {}
+        self.lower = not self.blank and any(x["type"] == "Lowercase" for x in spec["normalizer"]["normalizers"])
+        self.memo: dict[str, bytes] = {"": b""}
 
     def _units(self, text: str) -> list[str]:
         if not self.blank:
-            return text.replace("\n", " ").split(" ")
-        if _ODD.search(text) or "\0" in text:  # a run of white space belongs together
+            if self.lower and not _BEYOND_LATIN.search(text):
+                text = text.lower()
+            return _CUT.sub(" ", text.replace("\n", " ")).split(" ")
+        if "\0" in text or _ODD.search(text):  # a run of white space belongs together
             return [text]
-        return text.replace(" ", "\0 ").split("\0")
+        return _CUT.sub("\0", text.replace(" ", "\0 ")).split("\0")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        memo, units = self.memo, [self._units(t) for t in texts]
-        missing = list({w for u in units for w in u if w not in memo})
-        if missing:
-            if len(memo) + len(missing) > MEMO:
-                memo.clear()
-                missing = list({w for u in units for w in u})
-            for i in range(0, len(missing), 20_000):
-                part = missing[i : i + 20_000]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    memo[w] = np.array(e.ids, np.uint32).tobytes()
-        out = [np.frombuffer(b"".join([memo[w] for w in u]), np.uint32) for u in units]
-        if len(memo) > MEMO:
+        memo, units, ends = self.memo, [], []
+        for t in texts:
+            units += self._units(t)
+            ends.append(len(units))
+        found = list(map(memo.get, units))
+        gaps = [k for k, x in enumerate(found) if x is None]
+        new: dict[str, bytes] = {}
+        missing = list({units[k] for k in gaps})
+        for i in range(0, len(missing), 20_000):
+            part = missing[i : i + 20_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                new[w] = array("I", e.ids).tobytes()
+        for k in gaps:
+            found[k] = new[units[k]]
+        if len(memo) + len(new) > MEMO:
             memo.clear()
-        return out
+            memo[""] = b""
+        if len(new) <= MEMO:
+            memo.update(new)
+        return [np.frombuffer(b"".join(found[i:j]), np.uint32) for i, j in zip([0, *ends], ends, strict=False)]
 
 
 def encoder(path: str) -> WordEncoder:
