@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from blockmill.llm import licenses, mixing, packing, quality, toxicity
+from blockmill.llm import licenses, mixing, ngram_lm, packing, quality, toxicity
 from blockmill.llm.common import id_crc, table
 
 
@@ -28,6 +28,14 @@ def op3_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(quality.score_quality(docs.select("doc_id", "text"), model), id_crc(F.col("doc_id")) % 3 == 1, 0.5, "n_passages")
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(id_crc(F.col("doc_id")) % 7 == 2, F.lit(False))
+    model = ngram_lm.fit_ngrams(docs.where(~held_out))
+    scored = ngram_lm.score_ngrams(docs.withColumn("held_out", held_out), model)
+    return scored.withColumn("train_tokens", F.lit(model.train_tokens).cast("long"))
+
+
 def op6_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
