@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from blockmill.llm import licenses, mixing, ngram_lm, packing, quality, toxicity
+from blockmill.llm import jaccard, licenses, mixing, ngram_lm, packing, quality, toxicity
 from blockmill.llm.common import id_crc, table
 
 
@@ -51,6 +51,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op10_pack_min_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
