@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from blockmill.llm import jaccard, licenses, mixing, ngram_lm, packing, quality, toxicity
+from blockmill.llm import jaccard, licenses, mixing, neighbours, ngram_lm, packing, quality, toxicity
 from blockmill.llm.common import id_crc, table
 
 
@@ -22,6 +22,11 @@ def _decided(scored: DataFrame, held_out, least: float, *more: str) -> DataFrame
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"), *more)
 
 
+def op2_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.where("vec_id % 100 = 0"), neighbours.fit_partitions(vectors))
+
+
 def op3_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
