@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from blockmill.llm import jaccard, licenses, mixing, neighbours, ngram_lm, packing, quality, toxicity
+from blockmill.llm import jaccard, licenses, media, mixing, neighbours, ngram_lm, packing, quality, token_files, toxicity
 from blockmill.llm.common import id_crc, table
 
 
@@ -22,6 +22,11 @@ def _decided(scored: DataFrame, held_out, least: float, *more: str) -> DataFrame
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"), *more)
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, kind = token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
+    return token_files.read_tokens(spark, path, kind)
+
+
 def op2_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.search(vectors, vectors.where("vec_id % 100 = 0"), neighbours.fit_partitions(vectors))
@@ -33,6 +38,10 @@ def op3_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(quality.score_quality(docs.select("doc_id", "text"), model), id_crc(F.col("doc_id")) % 3 == 1, 0.5, "n_passages")
 
 
+def op4_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_media(spark, media.write_media(table(spark, sf_dir, "documents")))
+
+
 def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(id_crc(F.col("doc_id")) % 7 == 2, F.lit(False))
