@@ -15,7 +15,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockmill.llm.common import LOWER, UPPER
+from blockmill.llm.common import LOWER, UPPER, written
 
 #: Fixed by the contract: the words, and the base phrases with their labels.
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -35,7 +35,7 @@ NOTICES = (
     ("isc", "permission to use copy modify and or distribute this software", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("mpl", "mozilla public license", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file"),
     ("unlicense", "free and unencumbered software", "This is free and unencumbered software released into the public domain"),
-    ("cc-by-nc", "cc by nc", "Licensed under CC BY-NC 4.0"),
+    ("cc-by-nc", "licensed under cc by nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by", "creative commons attribution", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
 )
 TOP_WORDS = 16
@@ -59,31 +59,32 @@ def scan_licenses(docs: DataFrame, notices=NOTICES, top_words: int = TOP_WORDS)
     """
     spark = docs.sparkSession
     words, idf = _index(notices)
-    anchors = sorted({max(key.split(), key=lambda w: (idf.get(w, 0), len(w), w)) for _, key, _ in notices} | {"license"})
     keys = [key.split() for _, key, _ in notices]
     at = [next(i for i in range(len(ws)) if ws[i : i + len(k)] == k) for ws, k in zip(words, keys, strict=True)]
     postings = spark.createDataFrame([(n, w, p, idf[w]) for n, ws in enumerate(words) for p, w in enumerate(ws) if w in idf], "notice int, word string, place int, idf double")
     facts = spark.createDataFrame([(n, label, key, at[n], len(keys[n]), sum(idf.get(w, 0.0) for w in words[n])) for n, (label, key, _) in enumerate(notices)], "notice int, label string, phrase string, phrase_at int, phrase_words int, total double")
 
+    anchors = sorted({max(k, key=lambda w: (len(w) > 5, idf.get(w, 0), len(w), w)) for k in keys} | {"license"})
     text = F.coalesce(F.col("text"), F.lit(""))
-    low = F.lower(text)  # only to rule texts out; it finds whatever A-Z lowering finds
-    may = F.lit(False)
-    for a in anchors:
-        may = may | F.contains(low, F.lit(a))
-    split = F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(f"({WORDS})"), F.lit(1))
-    rows = docs.select(F.col("doc_id"), F.when(may, F.md5(text.cast("binary"))).alias("text_hash"), F.regexp_count(text, F.lit(_WORDS_ANY_CASE)).cast("long").alias("n_words"), F.when(may, split).alias("words"))
-
-    found = _verified(rows.where(F.col("words").isNotNull()), postings, facts, sorted(idf, key=lambda w: (-idf[w], w)), top_words)
-    based = rows.select("doc_id", "text_hash", "n_words", _base_places(F.col("words")).alias("places"))
+    name = F.when(text.rlike("(?i)" + "|".join(anchors)), F.md5(text.cast("binary")))  # null: no phrase can stand there
+    rows = docs.select("doc_id", name.alias("name"), F.regexp_count(text, F.lit(_WORDS_ANY_CASE)).cast("long").alias("n_words"))
+    split = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(f"({WORDS})"), F.lit(1))
+    asked = docs.select(name.alias("name"), text.alias("text")).where(F.col("name").isNotNull()).groupBy("name").agg(F.first("text").alias("text"))
+    texts = written(asked.select("name", split.alias("words")), "licence-texts")  # once a distinct text
+
+    found = _verified(texts, postings, facts, sorted(idf, key=lambda w: (-idf[w], w)), top_words)
+    based = texts.select("name", _base_places(F.col("words")).alias("places")).join(found, "name", "left")
     base = F.array_compact(F.array(*[_labelled(n) for n, _ in sorted(BASE, key=lambda x: x[1])]))
     starts = F.transform("places", lambda p: p["start"])
-    flat = based.select("doc_id", "text_hash", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"), base.alias("base"))
-    out = flat.join(found, "text_hash", "left")
-    return out.select(
-        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"),
-        F.array_join(F.sort_array(F.array_distinct(F.concat("base", F.coalesce("found", F.array().cast("array<string>"))))), ",").alias("labels"),
-        F.greatest(F.coalesce("score", F.lit(0.0)), F.when(F.col("n_base") > 0, 0.5).otherwise(0.0)).alias("score"),
+    labelled = F.array_sort(F.array_distinct(F.concat(base, F.coalesce("found", F.array().cast("array<string>")))))
+    told = based.select(
+        "name", F.size("places").cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"), F.array_join(labelled, ",").alias("labels"),
+        F.greatest(F.coalesce("score", F.lit(0.0)), F.when(F.size("places") > 0, 0.5).otherwise(0.0)).alias("score"),
     )
+    out = rows.join(told, "name", "left")
+    none = {"n_base": F.lit(0).cast("long"), "base_labels": F.lit(""), "labels": F.lit(""), "score": F.lit(0.0)}
+    return out.select("doc_id", "n_words", *[F.coalesce(c, none[c]).alias(c) if c in none else c for c in ("n_base", "first_word", "last_word", "base_labels", "labels", "score")])
 
 
 def _base_places(words: Column) -> Column:
@@ -115,17 +116,14 @@ def _labelled(phrase: str):
     return F.when(F.exists("places", lambda p: p["phrase"] == phrase), F.lit(dict(BASE)[phrase]))
 
 
-def _verified(rows: DataFrame, postings: DataFrame, facts: DataFrame, by_idf: list[str], top_words: int) -> DataFrame:
-    """text_hash, found (labels), score of the texts where a notice is verified. postings and facts
-    are as large as the notices, so they are broadcast."""
+def _verified(texts: DataFrame, postings: DataFrame, facts: DataFrame, by_idf: list[str], top_words: int) -> DataFrame:
+    """name, found (labels), score of the texts where a notice is verified. postings and facts are as
+    large as the notices, so they are broadcast."""
     looked_up = F.slice(F.array_intersect(F.array(*[F.lit(w) for w in by_idf]), F.col("words")), 1, top_words)
-    texts = rows.select("text_hash", "words").withColumn("top", looked_up).where(F.size("top") > 0)
-    hits = texts.select("text_hash", "top", F.posexplode("words").alias("pos", "word")).where(F.array_contains(F.col("top"), F.col("word"))).drop("top")
-    votes = hits.join(F.broadcast(postings), "word").withColumn("shift", F.col("pos") - F.col("place")).select("text_hash", "notice", "shift", "place", "idf").distinct()
-    places = votes.groupBy("text_hash", "notice", "shift").agg(F.sum("idf").alias("weight"))
-    asked = places.join(F.broadcast(facts), "notice")
-    # one row of words a text: copies of a text are the same words
-    held = texts.groupBy("text_hash").agg(F.first("words").alias("words"))
-    stands = F.array_join(F.slice(F.col("words"), F.greatest(F.col("shift") + F.col("phrase_at"), F.lit(0)) + 1, F.col("phrase_words")), " ") == F.col("phrase")
-    ok = asked.join(held, "text_hash").where((F.col("shift") + F.col("phrase_at") >= 0) & stands)
-    return ok.groupBy("text_hash").agg(F.sort_array(F.collect_set("label")).alias("found"), F.least(F.lit(1.0), F.max(F.col("weight") / F.col("total"))).alias("score"))
+    hits = texts.select("name", "words", looked_up.alias("top")).where(F.size("top") > 0).select("name", "top", F.posexplode("words").alias("pos", "word")).where(F.array_contains(F.col("top"), F.col("word"))).drop("top")
+    votes = hits.join(F.broadcast(postings), "word").withColumn("shift", F.col("pos") - F.col("place")).select("name", "notice", "shift", "place", "idf").distinct()
+    places = votes.groupBy("name", "notice", "shift").agg(F.sum("idf").alias("weight")).join(F.broadcast(facts), "notice")
+    start = F.col("shift") + F.col("phrase_at")
+    stands = F.array_join(F.slice(F.col("words"), F.greatest(start, F.lit(0)) + 1, F.col("phrase_words")), " ") == F.col("phrase")
+    ok = places.join(texts, "name").where((start >= 0) & stands)
+    return ok.groupBy("name").agg(F.sort_array(F.collect_set("label")).alias("found"), F.least(F.lit(1.0), F.max(F.col("weight") / F.col("total"))).alias("score"))
