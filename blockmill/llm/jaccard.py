@@ -6,11 +6,19 @@ coordinate minima of their points, and at most those of a point and a box. A tre
 pairs that may reach the threshold; these are verified on the sets.
 
 Boxes over all of a corpus would overlap everywhere, so classes are dealt out first, without losing a
-pair: sets of similar size use one grouping with more groups than two linked sets can have different
-shingles, so linked sets agree on a whole group. Classes that agree on a group are chained, and each
-connected chain is a tree's points. Nearly all classes agree with no other and end here. Chains over
-BLOCK classes are dealt in pairs of blocks. Inside a task links are only sought between classes that
-aren't linked yet through others, so a group of copies costs about one verified link a member.
+pair, by keys that linked sets share:
+
+- from 90 percent on, sets of similar size use one grouping with more groups than two linked sets can
+  have different shingles, so linked sets agree on a whole group, which is a key;
+- below, so many groups would hold too few shingles each to tell texts apart. There the keys are the
+  shingles a set has first in one order for all sets, as many as it takes for linked sets to share one.
+  Shingles that are frequent in a bounded sample come last; the order only steers the work. Sets with
+  a common key are points of a tree, and only those that the bound lets pass go on together.
+
+Classes that go on together are chained; nearly all classes stay alone and end here. Each chain is a
+tree's points once more, with its sets; chains over BLOCK classes are dealt in pairs of blocks. Inside
+a task links are only sought between classes that aren't linked yet through others, so a group of
+copies costs about one verified link a member.
 """
 
 from __future__ import annotations
@@ -28,7 +36,11 @@ from blockmill.llm.ngram_lm import _LOWER, mix
 BLOCK = 1_000
 #: Rows of (class, chain), 24 bytes each, up to which they are broadcast to fetch texts.
 MOST_BROADCAST = 400_000
-_POINT, _LEAF = 64, 16
+#: From this threshold on keys are whole groups.
+GROUPS_FROM = 90
+#: Documents of the sample that tells frequent shingles, the least number of them, and shingles kept.
+ORDER_SAMPLE, ORDER_SEEN, ORDER_MOST = 20_000, 3, 200_000
+_POINT, _LEAF, _FULL = 64, 16, 65_535
 
 
 def shingles(text: bytes | None, width: int) -> np.ndarray:
@@ -71,15 +83,40 @@ def group_keys(s: np.ndarray, top: int, percent: int, level: int) -> np.ndarray:
     return keys[~weak] if top >= 64 and weak.sum() <= spare else keys
 
 
-def set_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Group keys at the set's own level of size, and at the next if a set there may reach it."""
+def set_keys(s: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray:
+    """The set's keys: sets that reach the threshold have one in common."""
+    if percent < GROUPS_FROM:
+        first = len(s) - -(-percent * len(s) // 100) + 1
+        late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s if len(frequent) else np.zeros(len(s), bool)
+        return np.concatenate([s[~late], s[late]])[:first]
     level = int(np.searchsorted(_LEVELS, len(s), "right")) - 1
     keys = [group_keys(s, int(_LEVELS[level + 1]) - 1, percent, level)]
-    if 100 * len(s) >= percent * int(_LEVELS[level + 1]):
+    if 100 * len(s) >= percent * int(_LEVELS[level + 1]):  # sets of the next level may reach it
         keys.append(group_keys(s, int(_LEVELS[level + 2]) - 1, percent, level + 1))
     return np.concatenate(keys)
 
 
+def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """Sorted shingles of at least ORDER_SEEN of about ORDER_SAMPLE documents, ORDER_MOST at most."""
+    share = ORDER_SAMPLE / max(docs.count(), 1)
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, share) * (1 << 20))).select("text")
+
+    def count(batches):
+        for b in batches:
+            sets = [x for x in (shingles(t, width) for t in b.column(0).cast(pa.binary()).to_pylist()) if len(x)]
+            if sets:
+                seen, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+    seen = some.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= ORDER_SEEN)
+    return np.sort(np.array([r["shingle"] for r in seen.orderBy(F.desc("n"), "shingle").limit(ORDER_MOST).collect()], np.int64).astype(np.uint64))
+
+
+def point_of(s: np.ndarray) -> np.ndarray:
+    """Counts by group, at most _FULL, which stands for any larger number."""
+    return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=_POINT), _FULL)
+
+
 def _class_id(s: np.ndarray) -> int:
     return int(np.int64(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)))
 
@@ -88,6 +125,7 @@ class CountTree:
     """Points packed into boxes of up to 16 by halving along the widest coordinate."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
+        points = np.where(points == _FULL, 1 << 30, points).astype(np.int64)
         self.points, self.sizes, self.leaves = points, sizes, []
         todo = [np.arange(len(points))]
         while todo:
@@ -116,17 +154,24 @@ class CountTree:
 
 def links_of(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that connect all sets which verified links connect: a forest of the join's graph."""
-    sizes = np.array([len(s) for s in sets])
-    points = np.array([np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=_POINT) for s in sets]).astype(np.int32)
-    tree, label, out = CountTree(points, sizes), np.arange(len(sets)), []
-    for q in range(1, len(sets)):
+
+    def linked(a: int, b: int) -> bool:
+        x, y = sets[a], sets[b]
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        both = int((y[at] == x).sum())
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    return _forest(np.array([point_of(s) for s in sets]), np.array([len(s) for s in sets]), percent, linked)
+
+
+def _forest(points: np.ndarray, sizes: np.ndarray, percent: int, linked=None) -> list[tuple[int, int]]:
+    """Pairs that the bound and linked let pass, as few as connect what all such pairs connect."""
+    tree, label, out = CountTree(points, sizes), np.arange(len(sizes)), []
+    for q in range(1, len(sizes)):
         near = tree.near(q, percent)
         near = near[(near < q) & (label[near] != label[q])]
         while len(near):
-            a, b = sets[near[0]], sets[q]
-            at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-            both = int((b[at] == a).sum())
-            if 100 * both >= percent * (len(a) + len(b) - both):
+            if linked is None or linked(int(near[0]), q):
                 out.append((int(near[0]), q))
                 label[label == label[near[0]]] = label[q]
                 near = near[label[near] != label[q]]
@@ -135,7 +180,7 @@ def links_of(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def document_classes(docs: DataFrame, width: int = 3) -> DataFrame:
+def document_classes(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, class (null without words): one row for each row of docs."""
 
     def classes(batches):
@@ -148,40 +193,93 @@ def document_classes(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def _keyed_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """class, first_id (its smallest doc_id), check, keys: one row a class."""
+    """class, first_id (its smallest doc_id), size, point, keys: one row a class."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width) if percent < GROUPS_FROM else np.zeros(0, np.uint64))
 
     def keyed(batches):
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()
             for i, j in sub_batches(texts):
-                rows = [(d, _class_id(s), int(np.int64(xxhash.xxh3_64_intdigest(s.tobytes(), 1) - (1 << 63))), set_keys(s, percent).astype(np.int64)) for d, s in zip(ids[i:j], (shingles(t, width) for t in texts[i:j]), strict=True) if len(s)]
+                rows = []
+                for doc, s in zip(ids[i:j], (shingles(t, width) for t in texts[i:j]), strict=True):
+                    if len(s):
+                        check = int(np.int64(xxhash.xxh3_64_intdigest(s.tobytes(), 1) - (1 << 63)))
+                        rows.append((doc, _class_id(s), check, len(s), point_of(s).astype("<u2").tobytes(), set_keys(s, percent, frequent.value).astype(np.int64)))
                 if rows:
-                    keys = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(k) for *_, k in rows]]), pa.int32()), pa.array(np.concatenate([k for *_, k in rows])))
-                    yield pa.RecordBatch.from_arrays([*[pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], keys], names=["doc_id", "class", "check", "keys"])
+                    keys = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(r[-1]) for r in rows]]), pa.int32()), pa.array(np.concatenate([r[-1] for r in rows])))
+                    yield pa.RecordBatch.from_arrays([*[pa.array([r[k] for r in rows], pa.int64() if k < 4 else pa.binary()) for k in range(5)], keys], names=["doc_id", "class", "check", "size", "point", "keys"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(keyed, "doc_id long, class long, check long, size long, point binary, keys array<long>")
+    one = rows.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.min("check").alias("low"), F.max("check").alias("high"), F.first(F.struct("size", "point", "keys")).alias("row"))
+    sure = F.when(F.col("low") == F.col("high"), F.col("row")).otherwise(F.raise_error(F.lit("two sets share a 64-bit class id")))
+    return one.select("class", "first_id", sure.alias("row")).select("class", "first_id", "row.*")
+
+
+def _shared(batches) -> np.ndarray:
+    """From a partition that holds whole keys: sorted (key, class) of keys that several classes have."""
+    parts = [np.stack([np.asarray(b.column(0)), np.asarray(b.column(1))], 1) for b in batches]
+    pairs = np.concatenate([np.zeros((0, 2), np.int64), *parts])
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(1)][: len(pairs)]]
+    same = pairs[1:, 0] == pairs[:-1, 0]
+    return pairs[(np.r_[False, same] | np.r_[same, False])[: len(pairs)]]
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(keyed, "doc_id long, class long, check long, keys array<long>")
-    one = rows.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.min("check").alias("low"), F.max("check").alias("high"), F.first("keys").alias("keys"))
-    whole = F.when(F.col("low") == F.col("high"), F.col("keys")).otherwise(F.raise_error(F.lit("two sets share a 64-bit class id")).cast("array<long>"))
-    return one.select("class", "first_id", whole.alias("keys"))
 
+def _batched(pairs: np.ndarray, names: list[str]):
+    for i in range(0, len(pairs), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 100_000, k]) for k in (0, 1)], names=names)
 
-def _chains(batches):
-    """From a partition that holds whole keys: each key's smallest class with each of its others."""
-    parts = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches]
-    if parts:
-        key, cls = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((cls, key))
-        key, cls = key[order], cls[order]
-        head = np.r_[True, key[1:] != key[:-1]]
-        first = cls[np.flatnonzero(head)[np.cumsum(head) - 1]]
-        pairs = np.unique(np.stack([first, cls], 1)[~head & (first != cls)], axis=0)
-        for i in range(0, len(pairs), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 100_000, k]) for k in (0, 1)], names=["a", "b"])
+
+def _shared_keys(batches):
+    yield from _batched(_shared(batches), ["key", "class"])
+
+
+def _stars(batches):
+    """Each shared key's first class with each of its others."""
+    key, cls = _shared(batches).T
+    head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    first = np.repeat(cls[head], np.diff(np.r_[head, len(key)]))
+    yield from _batched(np.unique(np.stack([first, cls], 1)[first != cls], axis=0), ["a", "b"])
+
+
+def _bounded_chains(percent: int):
+    """From rows sorted by key: forests of the pairs that the bound lets pass among a key's classes."""
+
+    def chains(batches):
+        last, held, done = None, [], set()
+
+        def passed():
+            classes = np.array([h[0] for h in held], np.int64)
+            mark = hash(classes.tobytes())
+            if len(held) < 2 or mark in done:  # the same classes under another key
+                return
+            done.add(mark)
+            order = np.argsort([h[1] for h in held], kind="stable")
+            points, sizes = np.array([np.frombuffer(held[k][2], "<u2") for k in order]), np.array([held[k][1] for k in order])
+            if found := _forest(points, sizes, percent):
+                yield pa.RecordBatch.from_arrays([pa.array([classes[order[x[k]]] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            for key, cls, size, point in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != last:
+                    yield from passed()
+                    last, held = key, []
+                    if len(done) > 1_000_000:
+                        done.clear()
+                held.append((cls, size, point))
+        yield from passed()
+
+    return chains
 
 
 def class_links(docs: DataFrame, classes: DataFrame, width: int, percent: int, block: int = BLOCK) -> DataFrame:
     """(a, b): links between classes that connect whatever the join's links connect."""
-    pairs = classes.select(F.explode("keys").alias("key"), "class").repartition("key").mapInArrow(_chains, "a long, b long")
+    keyed = classes.select(F.explode("keys").alias("key"), "class").repartition("key")
+    if percent >= GROUPS_FROM:
+        pairs = keyed.mapInArrow(_stars, "a long, b long")
+    else:
+        shared = keyed.mapInArrow(_shared_keys, "key long, class long").join(classes.select("class", "size", "point"), "class")
+        pairs = shared.select("key", "class", "size", "point").repartition("key").sortWithinPartitions("key", "class").mapInArrow(_bounded_chains(percent), "a long, b long")
     chained = connected_components(pairs)
     chained = chained.select("node", "root").union(chained.select(F.col("root").alias("node"), "root").distinct())
     counts = chained.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
@@ -213,7 +311,7 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int, percent: int, b
     return dealt.mapInArrow(link, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links): a row for each row.
 
     Sets link when 100 x intersection >= percent x union; equal sets always do. A text without words
@@ -228,3 +326,19 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, block
     moved = members.join(smallest, "root").select("class", "smallest")
     of = ids.join(moved, "class", "left").select("class", F.coalesce("smallest", "first_id").alias("component"))
     return document_classes(docs, width).join(of, "class", "left").select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """docs with one document of each component: the one whose doc_id names it, and one row of it.
+
+    Texts without words all stay, and so do rows with a null doc_id. Only the ids that go, or that
+    several rows have, are joined with the documents.
+    """
+    found = written(jaccard_components(docs, width, percent, block), "components")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    several = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    marks = written(gone.withColumn("_go", F.lit(True)).unionByName(several.join(gone, "doc_id", "left_anti").withColumn("_go", F.lit(False))), "marks")
+    small = marks.count() <= MOST_BROADCAST
+    marked = docs.join(F.broadcast(marks) if small else marks, "doc_id", "left").select(*[docs[c] for c in docs.columns], "_go")
+    once = marked.where("not _go").drop("_go")
+    return marked.where("_go is null").drop("_go").unionByName(once.dropDuplicates(["doc_id", "text"]))
