@@ -1 +1 @@
-"""Keyed-block analytics on Spark DataFrames."""
+"""Keyed-block analytics on Spark DataFrames: immutable queries, block state, merge, change feeds."""

@@ -1 +1 @@
-"""Keyed-block analytics on Spark DataFrames."""
+"""Expressions, predicates and aggregators."""

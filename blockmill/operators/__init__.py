@@ -1 +1 @@
-"""Keyed-block analytics on Spark DataFrames."""
+"""Block state: time to live, eviction, clock, merge, metrics."""

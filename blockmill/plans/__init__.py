@@ -1 +1 @@
-"""Keyed-block analytics on Spark DataFrames."""
+"""Query builders that compile to DataFrames."""

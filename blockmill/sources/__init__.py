@@ -1 +1 @@
-"""Keyed-block analytics on Spark DataFrames."""
+"""Where rows come from: registry, decoders, record types, the block cache."""

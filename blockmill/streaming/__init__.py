@@ -1 +1 @@
-"""Keyed-block analytics on Spark DataFrames."""
+"""Change feeds and subscriptions."""
