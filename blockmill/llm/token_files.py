@@ -50,7 +50,7 @@ def read_tokens(spark, path: str, kind: str) -> DataFrame:
         return len(ids), zlib.crc32(ids.astype("<u4").tobytes())
 
     read = read_store(spark, path, measure, "n_tokens long, ids_crc32 long").drop("size")
-    return sums_before(read, ["doc_id", "row_id"], "n_tokens", "start").select("doc_id", "start", "n_tokens", "ids_crc32")
+    return sums_before(written(read, "token-sums"), ["doc_id", "row_id"], "n_tokens", "start").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def tokens_of(spark, path: str, kind: str) -> DataFrame:

@@ -1,26 +1,63 @@
 """Encoding whole texts with a public tokenizer's file, each distinct word once a worker.
 
-The tokenizers cut a text at white space before any merge, so a text's ids are its words' ids in
-order. Workers keep the ids of the words they have met (at most MEMO of them) and encode the rest.
+The tokenizers cut a text at white space, and between a letter and punctuation, before any merge, so a
+text's ids are its pieces' ids in order. Texts are cut and their pieces hashed as arrays of bytes;
+workers keep the ids of the pieces they have met (at most MEMO of them) and encode the rest.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
-from array import array
 
 import numpy as np
+import pandas as pd
 
-MEMO = 800_000
-_ODD = re.compile(r"\s \s")
-#: Between an ASCII letter or digit and ASCII punctuation both tokenizers cut before any merge.
-_CUT = re.compile(r"(?<=[A-Za-z0-9])(?=[.,;:!?|%$&*#])")
-#: Without these, lower case goes letter by letter and nothing composes.
-_BEYOND_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
+MEMO = 1_500_000
+_LONGEST = 256
 _encoders: dict = {}
 
 
+def _flags(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars)] = True
+    return out
+
+
+_ALNUM = _flags(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+_PUNCT = _flags(b".,;:!?|%$&*#")
+_SPACE = _flags(b" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f")
+#: Last and first bytes of white space beyond ASCII, and of other characters too.
+_MAY_END_SPACE, _MAY_START_SPACE = _flags(bytes([*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF])), _flags(b"\xc2\xe1\xe2\xe3")
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_rng = np.random.default_rng(17)
+_VALUES = _rng.integers(1, 1 << 64, 256, np.uint64)
+_BASE = int(_rng.integers(1, 1 << 63)) * 2 + 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+class _Powers:
+    """Powers of an odd number modulo 2 to the 64, as many as were asked for."""
+
+    def __init__(self, base: int):
+        self.base, self.kept = base, np.ones(1, np.uint64)
+
+    def first(self, n: int) -> np.ndarray:
+        while len(self.kept) < n:
+            self.kept = np.concatenate([self.kept, self.kept * np.uint64(pow(self.base, len(self.kept), 1 << 64))])
+        return self.kept[:n]
+
+
+_up, _down = _Powers(_BASE), _Powers(_INVERSE)
+
+
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    hashes, places = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    order = np.argsort(hashes, kind="stable")
+    return hashes[order], places[order]
+
+
 class WordEncoder:
     """Ids of texts as uint32 arrays, equal to Tokenizer.encode(text, add_special_tokens=False).ids.
 
@@ -29,50 +66,97 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import json
-
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
-        #: byte-level: a word keeps the blank before it; otherwise white space is dropped
+        #: byte-level: a piece keeps the blank before it; otherwise white space is dropped
         self.blank = spec["pre_tokenizer"]["type"] == "ByteLevel"
         if not self.blank and spec["model"].get("end_of_word_suffix") != "</w>" or self.blank and spec["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError(f"{path}: only tokenizers that cut at white space are supported")
         self.lower = not self.blank and any(x["type"] == "Lowercase" for x in spec["normalizer"]["normalizers"])
-        self.memo: dict[str, bytes] = {"": b""}
+        self._forget()
+
+    def _forget(self) -> None:
+        #: sorted hashes and their places: most pieces, and those met lately
+        self.sorted = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
+        self.starts, self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _pieces(self, b: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the pieces of the texts b[begin:end], which a line feed parts."""
+        if self.blank:
+            gap = np.zeros(len(b), bool)
+            gap[end] = True
+            start = b == 32
+        else:
+            gap = (b == 32) | (b == 10)
+            start = np.zeros(len(b), bool)
+            start[1:] = gap[:-1]
+        start[1:] |= _ALNUM[b[:-1]] & _PUNCT[b[1:]]
+        start[begin] = True
+        start &= ~gap
+        marks = np.flatnonzero(start | gap)  # ends with the last text's gap
+        own = np.flatnonzero(start[marks])
+        return marks[own], marks[own + 1]
+
+    def _by_itself(self, b: np.ndarray, first: np.ndarray, last: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Numbers of the texts that aren't the sum of their pieces, or have very long ones."""
+        odd = [first[last - first > _LONGEST]]
+        if self.blank:  # a run of white space belongs together
+            before, after = _SPACE[b[:-2]] | _MAY_END_SPACE[b[:-2]], _SPACE[b[2:]] | _MAY_START_SPACE[b[2:]]
+            odd.append(np.flatnonzero((b[1:-1] == 32) & before & after) + 1)
+        else:  # marks that change a letter
+            odd.append(np.flatnonzero((b == 0xCC) | (b == 0xCD)))
+        return np.unique(np.searchsorted(begin, np.concatenate(odd), "right") - 1)
 
-    def _units(self, text: str) -> list[str]:
-        if not self.blank:
-            if self.lower and not _BEYOND_LATIN.search(text):
-                text = text.lower()
-            return _CUT.sub(" ", text.replace("\n", " ")).split(" ")
-        if "\0" in text or _ODD.search(text):  # a run of white space belongs together
-            return [text]
-        return _CUT.sub("\0", text.replace(" ", "\0 ")).split("\0")
+    def _known(self, hashes: np.ndarray, b: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Places in starts and sizes of pieces with these distinct hashes."""
+        at = np.full(len(hashes), -1)
+        for kept, places in self.sorted:
+            if len(kept):
+                k = np.minimum(np.searchsorted(kept, hashes), len(kept) - 1)
+                hit = kept[k] == hashes
+                at[hit] = places[k[hit]]
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            if len(self.sizes) + len(new) > MEMO and len(self.sizes):
+                self._forget()
+                return self._known(hashes, b, first, last)
+            raw = b.tobytes()
+            words = [raw[i:j].decode() for i, j in zip(first[new].tolist(), last[new].tolist(), strict=True)]
+            ids = [e.ids for k in range(0, len(words), 20_000) for e in self.tokenizer.encode_batch_fast(words[k : k + 20_000], add_special_tokens=False)]
+            sizes = np.array([len(x) for x in ids], np.int64)
+            at[new] = len(self.sizes) + np.arange(len(new))
+            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.pool = np.concatenate([self.pool, np.array([x for e in ids for x in e], np.uint32)])
+            most, late = self.sorted
+            late = _merged(late, (hashes[new], at[new]))
+            self.sorted = [_merged(most, late), (late[0][:0], late[1][:0])] if len(late[0]) > 60_000 else [most, late]
+        return at
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        memo, units, ends = self.memo, [], []
-        for t in texts:
-            units += self._units(t)
-            ends.append(len(units))
-        found = list(map(memo.get, units))
-        gaps = [k for k, x in enumerate(found) if x is None]
-        new: dict[str, bytes] = {}
-        missing = list({units[k] for k in gaps})
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                new[w] = array("I", e.ids).tobytes()
-        for k in gaps:
-            found[k] = new[units[k]]
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            memo[""] = b""
-        if len(new) <= MEMO:
-            memo.update(new)
-        return [np.frombuffer(b"".join(found[i:j]), np.uint32) for i, j in zip([0, *ends], ends, strict=False)]
+        raw = [t.encode() for t in texts]
+        length = np.array([len(r) for r in raw], np.int64)
+        b = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+        begin = np.cumsum(length + 1) - length - 1
+        first, last = self._pieces(b, begin, begin + length)
+        alone = self._by_itself(b, first, last, begin)
+        if self.lower:
+            b = _LOWER[b]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[b] * _up.first(len(b)), dtype=np.uint64)])
+        codes, hashes = pd.factorize((total[last] - total[first]) * _down.first(len(b))[first])
+        _, sample = np.unique(codes, return_index=True)
+        at = self._known(hashes, b, first[sample], last[sample])[codes] if len(codes) else np.zeros(0, np.int64)
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        ids = self.pool[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.concatenate([np.zeros(1, np.int64), ends])[np.searchsorted(first, np.append(begin, len(b)))].tolist()
+        out = [ids[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+        for k in alone.tolist():
+            out[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.uint32)
+        return out
 
 
 def encoder(path: str) -> WordEncoder:
