@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructType
 
 from blockmill.operators import blocks, eviction, merge, metrics
 from blockmill.operators.blocks import SYSTEM, BlockSpec, Eviction
@@ -72,7 +72,7 @@ class BlockCache:
             raise ValueError(f"block {spec.name!r} is registered already")
         full = StructType([schema[c] for c in (*spec.keys, *spec.values)])
         for n in SYSTEM:
-            full = full.add(n, "bigint")
+            full = full.add(n, LongType())
         self._specs[spec.name], self._schemas[spec.name] = spec, full
         self._save(spec.name, self.spark.createDataFrame([], full))
         return spec
@@ -158,7 +158,7 @@ class BlockCache:
             for c in (*spec.keys, *spec.values):
                 schema = schema.add(self._schemas[name][c])
             folder = f"{self.folder}/{name}-changes"
-            self.spark.createDataFrame([], schema.add("source_ms", "bigint").add("source", "string")).write.mode("append").parquet(folder)
+            self.spark.createDataFrame([], schema.add("source_ms", LongType()).add("source", "string")).write.mode("append").parquet(folder)
             self._watches[name] = WatchRegistry(self.spark.readStream.schema(schema).parquet(folder))
         return self._watches[name]
 
