@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Fixed by the contract: words are runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,18 +33,62 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows that Spark hands to Python at a time. Texts are long, so its own default of 10,000 is too many.
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to BATCH_ROWS unless it asks for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df as a table in the shared folder: cuts lineage, survives lost executors, evaluates df once."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that written() gave and that nothing reads any more."""
+    _delete(df.sparkSession, df._written)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all tables of this library in the shared folder; results not yet read are lost."""
+    _delete(spark, scratch_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def schema_with(df: DataFrame, columns: list[str], more: str) -> StructType:
+    """The schema of some columns of df and further ones."""
+    return StructType([df.schema[c] for c in columns] + StructType.fromDDL(more).fields)
+
+
+def around(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work, which keeps, drops or repeats rows, in the columns of docs: it sees doc_id, text, source and
+    one column of all others, so that no name of docs can clash with its own."""
+    base = [c for c in ("doc_id", "text", "source") if c in docs.columns]
+    rest = [c for c in docs.columns if c not in base]
+    rows = docs.select(*base, *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_rest")] if rest else []))
+    return work(rows).select(*[F.col(c) if c in base else F.col("_rest").getField(c).alias(c) for c in docs.columns])
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(F.coalesce(c, F.lit("")), UPPER, LOWER)
 

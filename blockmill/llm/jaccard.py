@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockmill.llm.common import sub_batches, written
+from blockmill.llm.common import around, sub_batches, written
 from blockmill.llm.components import connected_components
 from blockmill.llm.ngram_lm import _LOWER, mix
 
@@ -40,7 +40,7 @@ MOST_BROADCAST = 400_000
 GROUPS_FROM = 90
 #: Documents of the sample that tells frequent shingles, the least number of them, and shingles kept.
 ORDER_SAMPLE, ORDER_SEEN, ORDER_MOST = 20_000, 3, 200_000
-_POINT, _LEAF, _FULL = 64, 16, 65_535
+_LEAF, _FULL = 16, 255
 
 
 def shingles(text: bytes | None, width: int) -> np.ndarray:
@@ -113,47 +113,52 @@ def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def point_of(s: np.ndarray) -> np.ndarray:
-    """Counts by group, at most _FULL, which stands for any larger number."""
-    return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=_POINT), _FULL)
+    """Counts by group, _FULL standing for it and any larger number: 64 groups, and for large sets one
+    for each 16 shingles, rounded up to a power of two, as few groups tell large sets apart badly."""
+    bits = max(6, (max(len(s), 1) - 1 >> 4).bit_length())
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), _FULL).astype(np.uint8)
 
 
 def _class_id(s: np.ndarray) -> int:
     return int(np.int64(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)))
 
 
+def _counts(points: np.ndarray) -> np.ndarray:
+    return np.where(points == _FULL, 1 << 20, points).astype(np.int32)
+
+
 class CountTree:
-    """Points packed into boxes of up to 16 by halving along the widest coordinate."""
+    """Points of one number of groups in boxes of up to 16, packed by halving along the widest
+    coordinate."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        points = np.where(points == _FULL, 1 << 30, points).astype(np.int64)
-        self.points, self.sizes, self.leaves = points, sizes, []
+        self.points, self.sizes, self.leaves = _counts(points), sizes, []
         todo = [np.arange(len(points))]
         while todo:
             ids = todo.pop()
             if len(ids) <= _LEAF:
                 self.leaves.append(ids)
             else:
-                own = points[ids]
+                own = self.points[ids]
                 order = np.argsort(own[:, np.argmax(own.max(0) - own.min(0))], kind="stable")
                 todo += [ids[order[: len(ids) // 2]], ids[order[len(ids) // 2 :]]]
-        self.most = np.array([points[x].max(0) for x in self.leaves])
+        self.most = np.array([self.points[x].max(0) for x in self.leaves])
         self.least_size = np.array([sizes[x].min() for x in self.leaves])
         self.most_size = np.array([sizes[x].max() for x in self.leaves])
 
-    def near(self, q: int, percent: int) -> np.ndarray:
-        """Points that may reach the threshold with point q."""
-        point, n = self.points[q], self.sizes[q]
+    def near(self, point: np.ndarray, n: int, percent: int) -> np.ndarray:
+        """Points that may reach the threshold with a point (as counts) of n shingles."""
         ok = (100 * self.most_size >= percent * n) & (percent * self.least_size <= 100 * n)
         ok[ok] = np.minimum(self.most[ok], point).sum(1, dtype=np.int64) * (100 + percent) >= percent * (n + self.least_size[ok])
         if not ok.any():
             return np.zeros(0, np.int64)
         ids = np.concatenate([self.leaves[k] for k in np.flatnonzero(ok)])
-        m = self.sizes[ids]
-        return ids[np.minimum(self.points[ids], point).sum(1, dtype=np.int64) * (100 + percent) >= percent * (n + m)]
+        return ids[np.minimum(self.points[ids], point).sum(1, dtype=np.int64) * (100 + percent) >= percent * (n + self.sizes[ids])]
 
 
 def links_of(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect all sets which verified links connect: a forest of the join's graph."""
+    """Links that connect all sets which verified links connect: a forest of the join's graph. sets are
+    in order of size."""
 
     def linked(a: int, b: int) -> bool:
         x, y = sets[a], sets[b]
@@ -161,14 +166,26 @@ def links_of(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         both = int((y[at] == x).sum())
         return 100 * both >= percent * (len(x) + len(y) - both)
 
-    return _forest(np.array([point_of(s) for s in sets]), np.array([len(s) for s in sets]), percent, linked)
+    return _forest([point_of(s) for s in sets], np.array([len(s) for s in sets]), percent, linked)
+
 
+def _forest(points: list[np.ndarray], sizes: np.ndarray, percent: int, linked=None) -> list[tuple[int, int]]:
+    """Pairs that the bound and linked let pass, as few as connect what all such pairs connect.
 
-def _forest(points: np.ndarray, sizes: np.ndarray, percent: int, linked=None) -> list[tuple[int, int]]:
-    """Pairs that the bound and linked let pass, as few as connect what all such pairs connect."""
-    tree, label, out = CountTree(points, sizes), np.arange(len(sizes)), []
+    sizes ascend. A set is compared with those before it, which have its number of groups or half of
+    it if they are large enough to reach the threshold (over 50 percent).
+    """
+    groups, trees = np.array([len(p) for p in points]), {}
+    for g in np.unique(groups):
+        ids = np.flatnonzero(groups == g)
+        trees[int(g)] = ids, CountTree(np.array([points[k] for k in ids]), sizes[ids])
+    label, out = np.arange(len(sizes)), []
     for q in range(1, len(sizes)):
-        near = tree.near(q, percent)
+        point, near = _counts(points[q]), []
+        for g, p in ((len(point), point), (len(point) // 2, point.reshape(-1, 2).sum(1))):
+            if g in trees:
+                near.append(trees[g][0][trees[g][1].near(p, sizes[q], percent)])
+        near = np.concatenate(near)
         near = near[(near < q) & (label[near] != label[q])]
         while len(near):
             if linked is None or linked(int(near[0]), q):
@@ -204,7 +221,7 @@ def _keyed_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 for doc, s in zip(ids[i:j], (shingles(t, width) for t in texts[i:j]), strict=True):
                     if len(s):
                         check = int(np.int64(xxhash.xxh3_64_intdigest(s.tobytes(), 1) - (1 << 63)))
-                        rows.append((doc, _class_id(s), check, len(s), point_of(s).astype("<u2").tobytes(), set_keys(s, percent, frequent.value).astype(np.int64)))
+                        rows.append((doc, _class_id(s), check, len(s), point_of(s).tobytes(), set_keys(s, percent, frequent.value).astype(np.int64)))
                 if rows:
                     keys = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(r[-1]) for r in rows]]), pa.int32()), pa.array(np.concatenate([r[-1] for r in rows])))
                     yield pa.RecordBatch.from_arrays([*[pa.array([r[k] for r in rows], pa.int64() if k < 4 else pa.binary()) for k in range(5)], keys], names=["doc_id", "class", "check", "size", "point", "keys"])
@@ -216,13 +233,23 @@ def _keyed_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _shared(batches) -> np.ndarray:
-    """From a partition that holds whole keys: sorted (key, class) of keys that several classes have."""
+    """From a partition that holds whole keys: (classes' hash, class) for each set of several classes
+    that some key has. Near copies share many keys; their set comes once."""
     parts = [np.stack([np.asarray(b.column(0)), np.asarray(b.column(1))], 1) for b in batches]
     pairs = np.concatenate([np.zeros((0, 2), np.int64), *parts])
     pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
     pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(1)][: len(pairs)]]
     same = pairs[1:, 0] == pairs[:-1, 0]
-    return pairs[(np.r_[False, same] | np.r_[same, False])[: len(pairs)]]
+    pairs = pairs[(np.r_[False, same] | np.r_[same, False])[: len(pairs)]]
+    if not len(pairs):
+        return pairs
+    head = np.flatnonzero(np.r_[True, pairs[1:, 0] != pairs[:-1, 0]])
+    classes = pairs[:, 1].astype(np.uint64)
+    marks = np.add.reduceat(mix(classes, classes), head)
+    _, once = np.unique(marks, return_index=True)
+    size = np.diff(np.r_[head, len(pairs)])
+    pairs[:, 0] = np.repeat(marks, size).astype(np.int64)
+    return pairs[np.repeat(np.isin(np.arange(len(head)), once), size)]
 
 
 def _batched(pairs: np.ndarray, names: list[str]):
@@ -246,26 +273,18 @@ def _bounded_chains(percent: int):
     """From rows sorted by key: forests of the pairs that the bound lets pass among a key's classes."""
 
     def chains(batches):
-        last, held, done = None, [], set()
+        last, held = None, []
 
         def passed():
-            classes = np.array([h[0] for h in held], np.int64)
-            mark = hash(classes.tobytes())
-            if len(held) < 2 or mark in done:  # the same classes under another key
-                return
-            done.add(mark)
-            order = np.argsort([h[1] for h in held], kind="stable")
-            points, sizes = np.array([np.frombuffer(held[k][2], "<u2") for k in order]), np.array([held[k][1] for k in order])
-            if found := _forest(points, sizes, percent):
-                yield pa.RecordBatch.from_arrays([pa.array([classes[order[x[k]]] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            rows = sorted(held, key=lambda h: h[1])
+            if found := _forest([np.frombuffer(r[2], np.uint8) for r in rows], np.array([r[1] for r in rows]), percent) if len(rows) > 1 else []:
+                yield pa.RecordBatch.from_arrays([pa.array([rows[x[k]][0] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for b in batches:
             for key, cls, size, point in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if key != last:
                     yield from passed()
                     last, held = key, []
-                    if len(done) > 1_000_000:
-                        done.clear()
                 held.append((cls, size, point))
         yield from passed()
 
@@ -274,11 +293,13 @@ def _bounded_chains(percent: int):
 
 def class_links(docs: DataFrame, classes: DataFrame, width: int, percent: int, block: int = BLOCK) -> DataFrame:
     """(a, b): links between classes that connect whatever the join's links connect."""
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be over 50, and 100 at most")
     keyed = classes.select(F.explode("keys").alias("key"), "class").repartition("key")
     if percent >= GROUPS_FROM:
         pairs = keyed.mapInArrow(_stars, "a long, b long")
     else:
-        shared = keyed.mapInArrow(_shared_keys, "key long, class long").join(classes.select("class", "size", "point"), "class")
+        shared = keyed.mapInArrow(_shared_keys, "key long, class long").distinct().join(classes.select("class", "size", "point"), "class")
         pairs = shared.select("key", "class", "size", "point").repartition("key").sortWithinPartitions("key", "class").mapInArrow(_bounded_chains(percent), "a long, b long")
     chained = connected_components(pairs)
     chained = chained.select("node", "root").union(chained.select(F.col("root").alias("node"), "root").distinct())
@@ -339,6 +360,9 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, block: int =
     several = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     marks = written(gone.withColumn("_go", F.lit(True)).unionByName(several.join(gone, "doc_id", "left_anti").withColumn("_go", F.lit(False))), "marks")
     small = marks.count() <= MOST_BROADCAST
-    marked = docs.join(F.broadcast(marks) if small else marks, "doc_id", "left").select(*[docs[c] for c in docs.columns], "_go")
-    once = marked.where("not _go").drop("_go")
-    return marked.where("_go is null").drop("_go").unionByName(once.dropDuplicates(["doc_id", "text"]))
+
+    def keep(rows: DataFrame) -> DataFrame:
+        marked = rows.join(F.broadcast(marks) if small else marks, "doc_id", "left")
+        return marked.where("_go is null").drop("_go").unionByName(marked.where("not _go").drop("_go").dropDuplicates(["doc_id", "text"]))
+
+    return around(docs, keep)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from blockmill.llm.common import WORD, word_count, written
+from blockmill.llm.common import WORD, around, word_count, written
 
 ROWS_PER_RANGE = 500
 #: Rows of the table of sources, about 60 bytes each, up to which it is broadcast.
@@ -83,12 +83,15 @@ def mix_sources(docs: DataFrame, seed: int = 7, weights=WEIGHTS, share: float =
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself, in the columns of docs: each document as often as it is taken whole, and once
-    more, cut after its first words, where the budget ends inside it."""
-    own = docs.columns
-    mixed = mix_sources(docs, **how)
-    part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size")) + (part > 0).cast("int")).otherwise(0).cast("int")
-    mixed = mixed.withColumn("part", part).withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
-    last = (F.col("part") > 0) & (F.col("copy") == F.floor(F.col("taken") / F.col("size")) + 1)
-    first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("part").cast("int")), " ")
-    return mixed.select(*[F.when(last, first_words).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in own])
+    more, cut after its first words (one blank between them), where the budget ends inside it."""
+
+    def mix(rows: DataFrame) -> DataFrame:
+        mixed = mix_sources(rows, **how)
+        some = F.col("size") > 0
+        mixed = mixed.withColumn("whole", F.when(some, F.floor(F.col("taken") / F.col("size"))).otherwise(0)).withColumn("part", F.when(some, F.col("taken") % F.col("size")).otherwise(0))
+        copies = (F.col("whole") + (F.col("part") > 0).cast("int")).cast("int")
+        mixed = mixed.withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
+        first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("part").cast("int")), " ")
+        return mixed.withColumn("text", F.when(F.col("copy") > F.col("whole"), first).otherwise(F.col("text")))
+
+    return around(docs, mix)

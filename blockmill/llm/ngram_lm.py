@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockmill.llm.common import new_path, sub_batches, written
+from blockmill.llm.common import discard, new_path, schema_with, sub_batches, written
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\nend", b"\nstart"))  # no word holds white space
@@ -229,11 +229,16 @@ def fit_ngrams(docs: DataFrame, order: int = 2, parts: int | None = None) -> Ngr
 
     rows = docs.select("text").mapInArrow(count, _BLOCKS)
     stats: dict[int, np.ndarray] = {}
+    before = None
     for n in range(order, 0, -1):
-        rows = written(rows.groupBy("part").applyInArrow(_merge(model.folder, n, parts), _BLOCKS), "ngram-blocks")
+        blocks = written(rows.groupBy("part").applyInArrow(_merge(model.folder, n, parts), _BLOCKS), "ngram-blocks")
+        if before is not None:
+            discard(before)
+        before, rows = blocks, blocks
         found = rows.where("kind = -1").select("block").collect()  # a few numbers a part
         stats[n] = sum((np.frombuffer(r["block"], np.int64) for r in found), np.zeros(8 if n == 1 else 4, np.int64))
         rows = rows.where("kind >= 0")
+    discard(before)
     for n, s in stats.items():
         n1, n2, n3, n4 = (float(x) for x in s[:4])
         y = n1 / (n1 + 2 * n2) if n1 else 0.5
@@ -317,5 +322,4 @@ def score_ngrams(docs: DataFrame, model: NgramModel) -> DataFrame:
                 base = np.bincount(doc, np.log10((count + 1) / room), j - i)
                 yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns[:-1], pa.array(sizes), pa.array(np.bincount(doc, count > 0, j - i).astype(np.int64)), pa.array(base), pa.array(total), pa.array(10 ** np.minimum(-total / sizes, 300))], names=[*carry, *new])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in carry]).schema)
-    return docs.select(*[f"`{c}`" for c in carry], F.col("text")).mapInArrow(score, f"{schema + ', ' if carry else ''}n_tokens long, n_known long, base_score double, score double, perplexity double")
+    return docs.select(*[f"`{c}`" for c in carry], F.col("text")).mapInArrow(score, schema_with(docs, carry, "n_tokens long, n_known long, base_score double, score double, perplexity double"))

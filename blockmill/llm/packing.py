@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from blockmill.llm.common import sub_batches, written
+from blockmill.llm.common import schema_with, sub_batches, written
 from blockmill.llm.tokens import encoder
 
 PIECES_PER_RANGE = 500
+_HELPERS = ("_ranges", "_range", "_n", "_begin", "_rank")
 _PIECE = "doc_id long, piece_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -93,9 +94,11 @@ def pack(pieces: DataFrame, window: int = 4096, pieces_per_range: int = PIECES_P
     """pieces (length long, piece_id long, any more) with sequence_id and offset.
 
     Every piece gets a place; a sequence's pieces lie gapless from 0. Equal input, equal output. An
-    empty table gives an empty table. pieces is read twice: give a written table.
+    empty table gives an empty table. pieces is read twice: give a written table. Columns named like
+    the two new ones or the helpers (_ranges, _range, _n, _begin, _rank) don't come along.
     """
-    spark, carry = pieces.sparkSession, [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    spark, carry = pieces.sparkSession, [c for c in pieces.columns if c not in ("sequence_id", "offset", *_HELPERS)]
+    pieces = pieces.select(*carry)
     histogram = dict(pieces.groupBy("length").count().collect())  # at most window rows
     starts, rows, base = dict.fromkeys(histogram, 0), [], 0
     for times, used in slack_patterns(histogram, window):
@@ -122,8 +125,7 @@ def pack(pieces: DataFrame, window: int = 4096, pieces_per_range: int = PIECES_P
             nth = rank - first[k]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], pa.array(base[k] + nth // count[k]), pa.array(offset[k] + nth % count[k] * length)], names=[*carry, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*carry).schema)
-    return ranked.select(*carry, "_rank").mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return ranked.select(*carry, "_rank").mapInArrow(place, schema_with(pieces, carry, "sequence_id long, offset long"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 4096) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockmill.llm.common import sub_batches
+from blockmill.llm.common import schema_with, sub_batches
 from blockmill.llm.labelled import training_sample
 
 PASSAGE_WORDS, MOST_LABELLED = 64, 4_000
@@ -164,8 +164,7 @@ def score_quality(docs: DataFrame, model: QualityModel | None) -> DataFrame:
                 np.maximum.at(most, bag, f["a"])
                 yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns, pa.array(f["y"]), pa.array(np.bincount(bag, minlength=j - i)), pa.array(most)], names=[*carry, *new])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in carry]).schema)
-    return docs.select(*[f"`{c}`" for c in carry]).mapInArrow(score, f"{schema}, score double, n_passages long, attention double")
+    return docs.select(*[f"`{c}`" for c in carry]).mapInArrow(score, schema_with(docs, carry, "score double, n_passages long, attention double"))
 
 
 def rejected(score: str = "score", least: float = 0.5):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockmill.llm.common import id_crc
+from blockmill.llm.common import id_crc, schema_with
 from blockmill.llm.labelled import training_sample
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -136,8 +136,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, located: float = 0.5)
                 spans.append([{"start": i, "end": j, "probability": p, "text": text[i:j]} for i, j, p in found if p >= located])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array(spans, pa.list_(span))], names=[*carry, "score", "offending"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in carry]).schema)
-    return docs.select(*[f"`{c}`" for c in carry]).mapInArrow(score, f"{schema}, score double, offending array<struct<start:int,end:int,probability:double,text:string>>")
+    return docs.select(*[f"`{c}`" for c in carry]).mapInArrow(score, schema_with(docs, carry, "score double, offending array<struct<start:int,end:int,probability:double,text:string>>"))
 
 
 def held_out(doc_id: Column, modulus: int = 4, remainder: int = 2) -> Column:
