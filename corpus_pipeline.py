@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockmill.llm import jaccard, mixing, packing, quality, toxicity
-from blockmill.llm.common import table, written
+from blockmill.llm.common import around, table, written
 from blockmill.llm.queries import tokenizer_path
 
 TOXIC, GOOD = 0.3, 0.5
@@ -21,13 +21,13 @@ TOXIC, GOOD = 0.3, 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose noisy-or score is under TOXIC."""
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model).where(F.col("score") < TOXIC).select(*docs.columns)
+    return around(docs, lambda rows: toxicity.score_toxicity(rows, model).where(F.col("score") < TOXIC))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least GOOD; all of them where no model can be fitted."""
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model).where(F.col("score") >= GOOD).select(*docs.columns)
+    return around(docs, lambda rows: quality.score_quality(rows, model).where(F.col("score") >= GOOD))
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
