@@ -80,7 +80,7 @@ def scan_licenses(docs: DataFrame, notices=NOTICES, top_words: int = TOP_WORDS)
     told = based.select(
         "name", F.size("places").cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
         F.array_join(base, ",").alias("base_labels"), F.array_join(labelled, ",").alias("labels"),
-        F.greatest(F.coalesce("score", F.lit(0.0)), F.when(F.size("places") > 0, 0.5).otherwise(0.0)).alias("score"),
+        F.round(F.greatest(F.coalesce("score", F.lit(0.0)), F.when(F.size("places") > 0, 0.5).otherwise(0.0)), 6).alias("score"),
     )
     out = rows.join(told, "name", "left")
     none = {"n_base": F.lit(0).cast("long"), "base_labels": F.lit(""), "labels": F.lit(""), "score": F.lit(0.0)}

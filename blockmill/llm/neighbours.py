@@ -200,16 +200,21 @@ def search(vectors: DataFrame, queries: DataFrame, model: Partitions | None, k:
             ids, qids = (np.asarray(t.column("id").combine_chunks()) for t in (base, asked))
             x, y = (np.asarray(t.column("v").combine_chunks().flatten()).reshape(t.num_rows, -1) for t in (base, asked))
             norms = (x**2).sum(1)
+            most_rows = min(k + len(ids) - len(np.unique(ids)), len(x))  # so many rows hold k ids
             for i in range(0, len(y), 256):
                 part = y[i : i + 256]
                 rough = norms - 2 * part @ x.T + (part**2).sum(1)[:, None]
                 rough[qids[i : i + 256, None] == ids] = np.inf
-                limit = np.partition(rough, min(k, len(x)) - 1, 1)[:, min(k, len(x)) - 1]
+                limit = np.partition(rough, most_rows - 1, 1)[:, most_rows - 1]
                 for row, qid, vector, most in zip(rough, qids[i : i + 256], part, limit, strict=True):
                     near = np.flatnonzero((row <= most + 1e-9 * (1 + (vector**2).sum())) & np.isfinite(row))
                     exact = np.sqrt(((x[near] - vector) ** 2).sum(1))
-                    for j in np.lexsort((ids[near], exact))[:k]:
-                        out.append((int(qid), int(ids[near[j]]), float(exact[j])))
+                    best: dict[int, float] = {}
+                    for j in np.lexsort((ids[near], exact)):
+                        best.setdefault(int(ids[near[j]]), float(exact[j]))
+                        if len(best) == k:
+                            break
+                    out += [(int(qid), i, d) for i, d in best.items()]
         cols = list(zip(*out, strict=True)) if out else [(), (), ()]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 

@@ -30,3 +30,39 @@ r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, least(w.doc_id, min(r.b))::BIGINT AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r ON w.doc_id = r.a GROUP BY w.doc_id
 """
+
+
+def _license_sql() -> str:
+    """The scan of licenses.py over every text, without ruling any out."""
+    from blockmill.llm.licenses import BASE, NOTICES, TOP_WORDS, WORDS, _index
+
+    words, idf = _index()
+    quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    postings = ", ".join(f"({n}, '{w}', {p}, {idf[w]!r}::DOUBLE)" for n, ws in enumerate(words) for p, w in enumerate(ws) if w in idf)
+    at = lambda n, key: next(i for i in range(len(words[n])) if words[n][i : i + len(key)] == key)
+    facts = ", ".join(f"({n}, '{label}', {quoted(key.split())}, {at(n, key.split())}, {sum(idf.get(w, 0.0) for w in words[n])!r}::DOUBLE)" for n, (label, key, _) in enumerate(NOTICES))
+    base = ", ".join(f"({quoted(phrase.split())}, '{label}')" for phrase, label in BASE)
+    return rf"""
+WITH postings(notice, word, place, idf) AS (VALUES {postings}),
+facts(notice, label, phrase, phrase_at, total) AS (VALUES {facts}),
+base(phrase, label) AS (VALUES {base}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS ws FROM documents),
+w AS (SELECT r, unnest(range(len(ws))) AS pos, unnest(ws) AS word FROM d),
+b AS (SELECT w.r, pos, label FROM w JOIN d USING (r) JOIN base ON word = phrase[1] AND ws[pos + 1:pos + len(phrase)] = phrase),
+n AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS base FROM b GROUP BY r),
+seen AS (SELECT r, word, any_value(idf) AS idf FROM w JOIN (SELECT DISTINCT word, idf FROM postings) USING (word) GROUP BY ALL),
+top AS (SELECT r, word FROM seen QUALIFY row_number() OVER (PARTITION BY r ORDER BY idf DESC, word) <= {TOP_WORDS}),
+v AS (SELECT DISTINCT r, notice, pos - place AS shift, place, idf FROM w JOIN top USING (r, word) JOIN postings USING (word)),
+p AS (SELECT r, notice, shift, sum(idf) AS weight FROM v GROUP BY ALL),
+f AS (SELECT p.r, label, weight / total AS share FROM p JOIN facts USING (notice) JOIN d USING (r)
+  WHERE shift + phrase_at >= 0 AND ws[shift + phrase_at + 1:shift + phrase_at + len(phrase)] = phrase),
+g AS (SELECT r, list(DISTINCT label) AS found, least(1.0, max(share)) AS score FROM f GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(found, [])))), ','), '') AS labels,
+  round(greatest(coalesce(score, 0.0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0.0 END), 6)::DOUBLE AS score
+FROM d LEFT JOIN n USING (r) LEFT JOIN g USING (r)
+"""
+
+
+op8_license_scan = _license_sql()

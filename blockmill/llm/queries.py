@@ -19,7 +19,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def _decided(scored: DataFrame, held_out, least: float, *more: str) -> DataFrame:
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"), *more)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"), *more)
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

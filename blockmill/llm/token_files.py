@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockmill.llm.chunk_store import Cutting, chunk_rows, read_store, write_store
-from blockmill.llm.common import written
+from blockmill.llm.common import discard, written
 from blockmill.llm.prefix import sums_before
 from blockmill.llm.tokens import encoder
 
@@ -35,7 +35,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> tuple
         return [(b"", np.concatenate([ids.astype(kind), ends])) for ids in encoder(tokenizer_path).encode([t or "" for t in texts])]
 
     rows = written(chunk_rows(docs, encode, CUTTING), "token-rows", "none")  # encoded once
-    return write_store(docs.sparkSession, rows, rows, "tokens", ordered=True), kind
+    path = write_store(docs.sparkSession, rows, rows, "tokens", ordered=True)
+    discard(rows)
+    return path, kind
 
 
 def read_tokens(spark, path: str, kind: str) -> DataFrame:

@@ -145,7 +145,11 @@ class WordEncoder:
         alone = self._by_itself(b, first, last, begin)
         if self.lower:
             b = _LOWER[b]
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[b] * _up.first(len(b)), dtype=np.uint64)])
+        total = np.zeros(len(b) + 1, np.uint64)
+        sums = total[1:]
+        np.take(_VALUES, b, out=sums, mode="clip")  # in place: these are the largest arrays
+        sums *= _up.first(len(b))
+        np.cumsum(sums, out=sums)
         codes, hashes = pd.factorize((total[last] - total[first]) * _down.first(len(b))[first])
         _, sample = np.unique(codes, return_index=True)
         at = self._known(hashes, b, first[sample], last[sample])[codes] if len(codes) else np.zeros(0, np.int64)
