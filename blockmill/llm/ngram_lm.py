@@ -1,10 +1,12 @@
 """Interpolated modified Kneser-Ney n-grams, counted in Spark.
 
-Tasks count the n-grams of their rows in sorted arrays and send each range of contexts its share as
-one compressed block; a range's blocks are merged, and what the merge leaves is a part of the model:
-sorted arrays of n-gram hashes with counts and of context hashes with their totals, written to the
-shared folder. Distinct n-grams become the next lower order's continuation counts in the same way.
-Scoring tasks memory-map the parts and look up sorted queries, so no task holds the model.
+Tasks count the n-grams of their rows in sorted arrays and send each range of n-gram hashes its share
+as one compressed block; a range's blocks are merged, and what the merge leaves is a part of the model:
+sorted arrays of n-gram hashes with counts, written to the shared folder. Ranges are of hashes of whole
+n-grams, so a context that a third of all words follow is spread over all of them; each range sums its
+contexts before these are sent on. Distinct n-grams become the next lower order's continuation counts
+in the same way. Scoring tasks memory-map the parts and look up sorted queries, so no task holds the
+model.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockmill.llm.common import discard, new_path, schema_with, sub_batches, written
+from blockmill.llm.common import discard, new_path, schema_with, sub_batches, trimmed, written
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\nend", b"\nstart"))  # no word holds white space
@@ -65,44 +67,44 @@ def grams(h: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
     return [*columns, h]
 
 
-def _pack(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
+def _pack(columns: list[np.ndarray], counts: list[np.ndarray]) -> bytes:
     """Rows as a block. Rows sorted by the first column make small blocks."""
     delta = np.diff(columns[0], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
-    n = np.array([len(counts), len(columns)], np.int64)
-    return zstandard.compress(b"".join([n.tobytes(), delta.tobytes(), *[c.tobytes() for c in columns[1:]], counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()]), 1)
+    head = np.array([len(columns[0]), len(columns), len(counts)], np.int64)
+    small = [c.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes() for c in counts]
+    return zstandard.compress(b"".join([head.tobytes(), delta.tobytes(), *[c.tobytes() for c in columns[1:]], *small]), 1)
 
 
-def _unpack(block: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+def _unpack(block: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
     raw = zstandard.decompress(block)
-    n, width = np.frombuffer(raw, np.int64, 2)
-    first = np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 16).reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
-    rest = [np.frombuffer(raw, np.uint64, n, 16 + 8 * n * k) for k in range(1, width)]
-    counts = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, 16 + 8 * n * width).reshape(4, n).T).view(np.uint32).ravel()
-    return [first, *rest], counts.astype(np.int64)
+    n, width, kinds = (int(x) for x in np.frombuffer(raw, np.int64, 3))
+    first = np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 24).reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
+    rest = [np.frombuffer(raw, np.uint64, n, 24 + 8 * n * k) for k in range(1, width)]
+    at = 24 + 8 * n * width
+    counts = [np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at + 4 * n * k).reshape(4, n).T).view(np.uint32).ravel().astype(np.int64) for k in range(kinds)]
+    return [first, *rest], counts
 
 
-def _summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def _summed(columns: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
     """Distinct rows, their sorted hashes, and the sums of their counts."""
     k = mix(*columns)
     order = np.argsort(k)
     k = k[order]
-    heads = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, int)
-    return [c[order[heads]] for c in columns], k[heads], np.add.reduceat(counts[order], heads) if len(k) else counts
-
-
-def _dealt(kind: int, columns: list[np.ndarray], counts: np.ndarray, parts: int) -> Iterator[tuple[int, int, bytes]]:
-    """Blocks of rows by their context's part: all columns but the last, or the only one."""
-    context = mix(*columns[:-1]) if len(columns) > 1 else columns[0]
-    # nearly sorted by context, then word: enough to make equal rows neighbours and blocks small
-    order = np.argsort((context & ~np.uint64(0xFFFFFF)) | (columns[-1] >> np.uint64(40)))
-    columns, counts, part = [c[order] for c in columns], counts[order], part_of(context[order], parts)
-    new = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])]
-    heads = np.flatnonzero(new)
-    columns, part, counts = [c[heads] for c in columns], part[heads], np.add.reduceat(counts, heads)
+    heads = np.flatnonzero(np.r_[True, k[1:] != k[:-1]][: len(k)])
+    return [c[order[heads]] for c in columns], k[heads], [np.add.reduceat(c[order], heads) if len(k) else c for c in counts]
+
+
+def _dealt(kind: int, columns: list[np.ndarray], counts: list[np.ndarray], parts: int) -> Iterator[tuple[int, int, bytes]]:
+    """Blocks of distinct rows by the part of their hash."""
+    columns, keys, counts = _summed(columns, counts)
+    part = part_of(keys, parts)
+    if len(columns) > 1:  # sorted by hash they are sorted by part; by first column in a part they are small
+        order = np.lexsort((columns[0], part))
+        columns, counts, part = [c[order] for c in columns], [c[order] for c in counts], part[order]
     cuts = np.searchsorted(part, np.arange(parts + 1))
-    for p in np.unique(part):
+    for p in np.flatnonzero(np.diff(cuts)):
         i, j = cuts[p], cuts[p + 1]
-        yield kind, int(p), _pack([c[i:j] for c in columns], counts[i:j])
+        yield kind, int(p), _pack([c[i:j] for c in columns], [c[i:j] for c in counts])
 
 
 def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -158,38 +160,38 @@ def _load(folder: str, name: str, *kinds: type) -> list[np.ndarray]:
 
 
 def _merge(folder: str, order: int, parts: int):
+    """Kinds of blocks: 0 words with their counts, n n-grams of order n with theirs, 100 + n contexts of
+    order n with their total and their numbers of words seen once, twice and more often; -1 figures."""
+
     def merge(group: pa.Table) -> pa.Table:
-        """One part: its n-grams of this order, and what of the lower order they give."""
+        """One part: its n-grams of this order and contexts of the next, and what the lower order gets."""
         part, out = group.column("part")[0].as_py(), []
         kinds: dict[int, list] = {}
         for kind, block in zip(group.column("kind").to_pylist(), group.column("block").to_pylist(), strict=True):
-            kinds.setdefault(kind, []).append(block)
-        seen = {k: [_unpack(x) for x in blocks] for k, blocks in kinds.items()}
-        joined = {k: _summed([np.concatenate([x[0][i] for x in xs]) for i in range(len(xs[0][0]))], np.concatenate([x[1] for x in xs])) for k, xs in seen.items()}
-        if order == 1:
-            words, keys, counts = joined.get(1, ([np.zeros(0, np.uint64)], np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-            raw = joined[0]
-            continued = np.zeros(len(raw[1]), np.int64)
-            at = np.searchsorted(raw[1], keys)
-            continued[at] = counts
-            _save(folder, f"1-{part}", raw[1], raw[2].astype(np.uint64), continued.astype(np.uint32))
-            stats = np.array([*[(continued == k).sum() for k in (1, 2, 3, 4)], (continued > 2).sum(), continued.sum(), raw[2].sum(), len(raw[1])], np.int64)
+            kinds.setdefault(kind, []).append(_unpack(block))
+        joined = {k: _summed(*[[np.concatenate([x[w][i] for x in xs]) for i in range(len(xs[0][w]))] for w in (0, 1)]) for k, xs in kinds.items()}
+        if 101 + order in joined:
+            _, keys, (total, *few) = joined[101 + order]
+            _save(folder, f"c{order + 1}-{part}", keys, total.astype(np.uint64), *[x.astype(np.uint32) for x in few])
+        if order > 1 and order in joined:
+            columns, keys, (counts,) = joined[order]
+            _save(folder, f"{order}-{part}", keys, np.minimum(counts, 255).astype(np.uint8))
+            big = np.flatnonzero(counts > 254)
+            _save(folder, f"{order}-big-{part}", keys[big], counts[big].astype(np.uint64))
+            out.append((-1, part, np.array([(counts == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes()))
+            ones = [(counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts > 2).astype(np.int64)]
+            out += _dealt(100 + order, [mix(*columns[:-1])], [counts, *ones], parts)
+            out += _dealt(order - 1, columns[1:], [np.ones(len(keys), np.int64)], parts)
+        if order > 1 and 0 in joined:
+            out.append((0, part, _pack([joined[0][1]], joined[0][2])))
+        if order == 1 and 0 in joined:  # every continued word is a counted one
+            _, raw, (seen,) = joined[0]
+            continued = np.zeros(len(raw), np.int64)
+            if 1 in joined:
+                continued[np.searchsorted(raw, joined[1][1])] = joined[1][2][0]
+            _save(folder, f"1-{part}", raw, seen.astype(np.uint64), continued.astype(np.uint32))
+            stats = np.array([*[(continued == k).sum() for k in (1, 2, 3, 4)], (continued > 2).sum(), continued.sum(), seen.sum(), len(raw)], np.int64)
             out.append((-1, part, stats.tobytes()))
-        else:
-            if order in joined:
-                columns, keys, counts = joined[order]
-                _save(folder, f"{order}-{part}", keys, np.minimum(counts, 255).astype(np.uint8))
-                big = np.flatnonzero(counts > 254)
-                _save(folder, f"{order}-big-{part}", keys[big], counts[big].astype(np.uint64))
-                context = mix(*columns[:-1])
-                by = np.argsort(context)
-                heads = np.flatnonzero(np.r_[True, context[by][1:] != context[by][:-1]])
-                of = [np.add.reduceat(x[by].astype(np.int64), heads) for x in (counts, counts == 1, counts == 2, counts > 2)]
-                _save(folder, f"c{order}-{part}", context[by][heads], of[0].astype(np.uint64), *[x.astype(np.uint32) for x in of[1:]])
-                out.append((-1, part, np.array([(counts == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes()))
-                out += _dealt(order - 1, columns[1:], np.ones(len(keys), np.int64), parts)
-            if 0 in joined:
-                out.append((0, part, _pack([joined[0][1]], joined[0][2])))
         return pa.Table.from_batches([_rows(out)])
 
     return merge
@@ -213,7 +215,7 @@ def fit_ngrams(docs: DataFrame, order: int = 2, parts: int | None = None) -> Ngr
         def flush():
             columns = [np.concatenate([x[i] for x in held]) for i in range(order)]
             held.clear()
-            ones = np.ones(len(columns[0]), np.int64)
+            ones = [np.ones(len(columns[0]), np.int64)]
             rows = [*_dealt(order, columns, ones, parts), *_dealt(0, columns[-1:], ones, parts)]
             for i in range(0, len(rows), 16):
                 yield _rows(rows[i : i + 16])
@@ -227,7 +229,7 @@ def fit_ngrams(docs: DataFrame, order: int = 2, parts: int | None = None) -> Ngr
         if held:
             yield from flush()
 
-    rows = docs.select("text").mapInArrow(count, _BLOCKS)
+    rows = docs.select("text").mapInArrow(trimmed(count), _BLOCKS)
     stats: dict[int, np.ndarray] = {}
     before = None
     for n in range(order, 0, -1):
@@ -252,17 +254,15 @@ def fit_ngrams(docs: DataFrame, order: int = 2, parts: int | None = None) -> Ngr
 _open: dict[str, dict] = {}
 
 
-def _find(model: NgramModel, name: str, kinds: tuple, h: np.ndarray, cut: np.ndarray | None = None) -> list[np.ndarray]:
-    """Values of the arrays called name-<part> for the hashes h (part by cut or by h), 0 where unknown."""
-    part = part_of(h if cut is None else cut, model.parts)
-    order = np.lexsort((h, part))
+def _find(model: NgramModel, name: str, kinds: tuple, h: np.ndarray) -> list[np.ndarray]:
+    """Values of the arrays called name-<part> for sorted hashes h, 0 where unknown."""
     out = [np.zeros(len(h), k) for k in kinds[1:]]
     if model.folder not in _open:
         _open.clear()  # a worker maps one model at a time
     opened = _open.setdefault(model.folder, {})
-    bounds = np.searchsorted(part[order], np.arange(model.parts + 1))
+    bounds = np.searchsorted(part_of(h, model.parts), np.arange(model.parts + 1))
     for p in np.flatnonzero(np.diff(bounds)):
-        ask = order[bounds[p] : bounds[p + 1]]
+        ask = np.arange(bounds[p], bounds[p + 1])
         if (name, p) not in opened:
             opened[name, p] = _load(model.folder, f"{name}-{p}", *kinds)
         keys, *values = opened[name, p]
@@ -289,12 +289,12 @@ def log_probabilities(model: NgramModel, h: np.ndarray, sizes: np.ndarray) -> tu
         context = mix(*columns[:-1])
         contexts, of = np.unique(context, return_inverse=True)
         total, n1, n2, n3 = (x.astype(float) for x in _find(model, f"c{n}", (np.uint64, np.uint64, np.uint32, np.uint32, np.uint32), contexts))
-        key, first, again = np.unique(mix(*columns), return_index=True, return_inverse=True)
-        (count,) = _find(model, f"{n}", (np.uint64, np.uint8), key, context[first])
+        key, again = np.unique(mix(*columns), return_inverse=True)
+        (count,) = _find(model, f"{n}", (np.uint64, np.uint8), key)
         count = count.astype(np.int64)
         many = np.flatnonzero(count == 255)
         if len(many):
-            count[many] = _find(model, f"{n}-big", (np.uint64, np.uint64), key[many], context[first[many]])[0]
+            count[many] = _find(model, f"{n}-big", (np.uint64, np.uint64), key[many])[0]
         kept = np.maximum(count - d[np.minimum(count, 3)], 0)[again]
         spared, total = (d[1] * n1 + d[2] * n2 + d[3] * n3)[of], total[of]
         p = np.where(total > 0, (kept + spared * p) / np.maximum(total, 1), p)
@@ -322,4 +322,4 @@ def score_ngrams(docs: DataFrame, model: NgramModel) -> DataFrame:
                 base = np.bincount(doc, np.log10((count + 1) / room), j - i)
                 yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns[:-1], pa.array(sizes), pa.array(np.bincount(doc, count > 0, j - i).astype(np.int64)), pa.array(base), pa.array(total), pa.array(10 ** np.minimum(-total / sizes, 300))], names=[*carry, *new])
 
-    return docs.select(*[f"`{c}`" for c in carry], F.col("text")).mapInArrow(score, schema_with(docs, carry, "n_tokens long, n_known long, base_score double, score double, perplexity double"))
+    return docs.select(*[f"`{c}`" for c in carry], F.col("text")).mapInArrow(trimmed(score), schema_with(docs, carry, "n_tokens long, n_known long, base_score double, score double, perplexity double"))
