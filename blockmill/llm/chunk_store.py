@@ -24,9 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockmill.llm.common import new_path, sub_batches
+from blockmill.llm.common import new_path, sub_batches, trimmed
 
 FIELD_BITS = 24
+#: Compression of chunks: higher levels hardly make them smaller.
+LEVEL = 5
 _RECIPE = "doc_id long, row_id long, size long, head binary, root binary, lengths array<int>, names array<binary>, slots array<long>, held array<boolean>, body binary"
 _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary()]
 _FIELDS = [x.split()[0] for x in _RECIPE.split(", ")]
@@ -93,7 +95,7 @@ def chunk_rows(docs: DataFrame, encode: Encode, cutting: Cutting, bodies: bool =
     """A row for each row of docs (doc_id, text): its recipe, with all chunks in body."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n, press = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
+        part, n, press = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=LEVEL)
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, j in sub_batches(texts):
@@ -106,7 +108,7 @@ def chunk_rows(docs: DataFrame, encode: Encode, cutting: Cutting, bodies: bool =
                     n += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_FIELDS)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, _RECIPE)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(cut), _RECIPE)
 
 
 def repeated_field(rows: DataFrame) -> np.ndarray:
@@ -139,7 +141,7 @@ def write_store(spark: SparkSession, rows: DataFrame, counted: DataFrame, name:
     path, field = new_path(spark, name), spark.sparkContext.broadcast(repeated_field(counted))
 
     def hold(batches):
-        press, loose = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        press, loose = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
         for b in batches:
             slots, lengths, bodies = (b.column(_FIELDS.index(c)).to_pylist() for c in ("slots", "lengths", "body"))
             held, kept = [], []
@@ -150,7 +152,7 @@ def write_store(spark: SparkSession, rows: DataFrame, counted: DataFrame, name:
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(held, pa.list_(pa.bool_())), pa.array(kept, pa.binary())], names=_FIELDS)
 
     def shared(batches):
-        press, loose = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        press, loose = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
         for b in batches:
             slots, names, lengths, bodies = (b.column(_FIELDS.index(c)).to_pylist() for c in ("slots", "names", "lengths", "body"))
             out: dict[bytes, bytes] = {}
@@ -162,8 +164,8 @@ def write_store(spark: SparkSession, rows: DataFrame, counted: DataFrame, name:
                 yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.binary()), pa.array([press.compress(x) for x in out.values()], pa.binary())], names=["name", "chunk"])
 
     recipes = rows.repartitionByRange("doc_id", "row_id").sortWithinPartitions("doc_id", "row_id") if ordered else rows
-    recipes.mapInArrow(hold, _RECIPE).write.option("compression", "none").parquet(f"{path}/recipes")
-    rows.mapInArrow(shared, "name binary, chunk binary").groupBy("name").agg(F.first("chunk").alias("chunk")).write.option("compression", "none").parquet(f"{path}/chunks")
+    recipes.mapInArrow(trimmed(hold), _RECIPE).write.option("compression", "none").parquet(f"{path}/recipes")
+    rows.mapInArrow(trimmed(shared), "name binary, chunk binary").groupBy("name").agg(F.first("chunk").alias("chunk")).write.option("compression", "none").parquet(f"{path}/chunks")
     return path
 
 
@@ -198,4 +200,4 @@ def read_store(spark: SparkSession, path: str, measure: Callable[[bytes, bytes],
     asked = recipes.where(~whole).select("row_id", F.posexplode(F.arrays_zip("names", "held")).alias("at", "x")).where("not x.held").select("row_id", "at", F.col("x.names").alias("name"))
     fetched = asked.join(chunks, "name").groupBy("row_id").agg(F.collect_list(F.struct("at", "chunk")).alias("others"))  # as long as its document
     rows = recipes.where(whole).withColumn("others", none).unionByName(recipes.where(~whole).join(fetched, "row_id").select(*_FIELDS, "others"))
-    return rows.select(*_FIELDS, "others").mapInArrow(build, f"doc_id long, row_id long, size long, {schema}")
+    return rows.select(*_FIELDS, "others").mapInArrow(trimmed(build), f"doc_id long, row_id long, size long, {schema}")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -89,6 +91,21 @@ def around(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame
     return work(rows).select(*[F.col(c) if c in base else F.col("_rest").getField(c).alias(c) for c in docs.columns])
 
 
+def trimmed(work: Callable) -> Callable:
+    """work over Arrow batches that gives its freed memory back at the end: Spark keeps idle workers,
+    more than it has cores at times, and each would hold on to the most that it ever used."""
+
+    def run(batches):
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return run
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(F.coalesce(c, F.lit("")), UPPER, LOWER)
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockmill.llm.common import around, sub_batches, written
+from blockmill.llm.common import around, sub_batches, trimmed, written
 from blockmill.llm.components import connected_components
 from blockmill.llm.ngram_lm import _LOWER, mix
 
@@ -108,7 +108,7 @@ def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
                 seen, n = np.unique(np.concatenate(sets), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(n)], names=["shingle", "n"])
 
-    seen = some.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= ORDER_SEEN)
+    seen = some.mapInArrow(trimmed(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= ORDER_SEEN)
     return np.sort(np.array([r["shingle"] for r in seen.orderBy(F.desc("n"), "shingle").limit(ORDER_MOST).collect()], np.int64).astype(np.uint64))
 
 
@@ -206,7 +206,7 @@ def document_classes(docs: DataFrame, width: int = 5) -> DataFrame:
             rows = [(len(s), _class_id(s) if len(s) else None) for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in rows], pa.int64()), pa.array([c for _, c in rows], pa.int64())], names=["doc_id", "n_shingles", "class"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(classes, "doc_id long, n_shingles long, class long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(classes), "doc_id long, n_shingles long, class long")
 
 
 def _keyed_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -226,7 +226,7 @@ def _keyed_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     keys = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(r[-1]) for r in rows]]), pa.int32()), pa.array(np.concatenate([r[-1] for r in rows])))
                     yield pa.RecordBatch.from_arrays([*[pa.array([r[k] for r in rows], pa.int64() if k < 4 else pa.binary()) for k in range(5)], keys], names=["doc_id", "class", "check", "size", "point", "keys"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(keyed, "doc_id long, class long, check long, size long, point binary, keys array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(keyed), "doc_id long, class long, check long, size long, point binary, keys array<long>")
     one = rows.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.min("check").alias("low"), F.max("check").alias("high"), F.first(F.struct("size", "point", "keys")).alias("row"))
     sure = F.when(F.col("low") == F.col("high"), F.col("row")).otherwise(F.raise_error(F.lit("two sets share a 64-bit class id")))
     return one.select("class", "first_id", sure.alias("row")).select("class", "first_id", "row.*")
@@ -297,10 +297,10 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int, percent: int, b
         raise ValueError("percent must be over 50, and 100 at most")
     keyed = classes.select(F.explode("keys").alias("key"), "class").repartition("key")
     if percent >= GROUPS_FROM:
-        pairs = keyed.mapInArrow(_stars, "a long, b long")
+        pairs = keyed.mapInArrow(trimmed(_stars), "a long, b long")
     else:
-        shared = keyed.mapInArrow(_shared_keys, "key long, class long").distinct().join(classes.select("class", "size", "point"), "class")
-        pairs = shared.select("key", "class", "size", "point").repartition("key").sortWithinPartitions("key", "class").mapInArrow(_bounded_chains(percent), "a long, b long")
+        shared = keyed.mapInArrow(trimmed(_shared_keys), "key long, class long").distinct().join(classes.select("class", "size", "point"), "class")
+        pairs = shared.select("key", "class", "size", "point").repartition("key").sortWithinPartitions("key", "class").mapInArrow(trimmed(_bounded_chains(percent)), "a long, b long")
     chained = connected_components(pairs)
     chained = chained.select("node", "root").union(chained.select(F.col("root").alias("node"), "root").distinct())
     counts = chained.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
@@ -329,7 +329,7 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int, percent: int, b
             yield pa.RecordBatch.from_arrays([pa.array([ids[x[k]] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     dealt = texts.select("task", "class", "text").repartition("task").sortWithinPartitions("task")
-    return dealt.mapInArrow(link, "a long, b long")
+    return dealt.mapInArrow(trimmed(link), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from blockmill.llm.common import written
+from blockmill.llm.common import trimmed, written
 
 SAMPLE, MOST_PARTITIONS, LEAST_IN_PARTITION = 8_192, 32, 128
 BASE_BLOCK, QUERY_BLOCK = 8_192, 4_096
@@ -55,10 +55,13 @@ def usable(c: Column) -> Column:
 def exact_neighbours(queries: np.ndarray, base: np.ndarray, k: int, own: np.ndarray | None = None) -> np.ndarray:
     """Rows of base next to each query; own: rows of base to leave out."""
     out = []
-    for i in range(0, len(queries), 1024):
-        d = (base**2).sum(1) - 2 * queries[i : i + 1024] @ base.T
+    norms = (base**2).sum(1)
+    for i in range(0, len(queries), 256):  # 256 rows of distances at a time
+        d = queries[i : i + 256] @ base.T
+        d *= -2
+        d += norms
         if own is not None:
-            d[np.arange(len(d)), own[i : i + 1024]] = np.inf
+            d[np.arange(len(d)), own[i : i + 256]] = np.inf
         out.append(np.argpartition(d, min(k, d.shape[1] - 1), 1)[:, :k])
     return np.concatenate(out)
 
@@ -185,7 +188,7 @@ def search(vectors: DataFrame, queries: DataFrame, model: Partitions | None, k:
 
     def rows(df: DataFrame, most: int) -> DataFrame:
         ok = df.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull() & (F.size(vector_col) == model.dimension))
-        return ok.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(placed(most), "id long, v array<double>, part int")
+        return ok.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(trimmed(placed(most)), "id long, v array<double>, part int")
 
     asked = written(rows(queries.groupBy(id_col).agg(F.min(vector_col).alias(vector_col)), model.visits), "ann-queries")
     base = written(rows(vectors, 1), "ann-index")

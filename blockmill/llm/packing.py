@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from blockmill.llm.common import schema_with, sub_batches, written
+from blockmill.llm.common import schema_with, sub_batches, trimmed, written
 from blockmill.llm.tokens import encoder
 
 PIECES_PER_RANGE = 500
@@ -50,7 +50,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, window: int
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 6 else pa.binary()) for k, c in enumerate(zip(*out, strict=True))], names=names)
 
     names = [x.split()[0] for x in _PIECE.split(", ")] + ["ids"] * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(cut, _PIECE + ", ids binary" * with_ids)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(trimmed(cut), _PIECE + ", ids binary" * with_ids)
 
 
 def slack_patterns(counts: dict[int, int], window: int) -> list[tuple[int, dict[int, int]]]:
@@ -125,7 +125,7 @@ def pack(pieces: DataFrame, window: int = 4096, pieces_per_range: int = PIECES_P
             nth = rank - first[k]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], pa.array(base[k] + nth // count[k]), pa.array(offset[k] + nth % count[k] * length)], names=[*carry, "sequence_id", "offset"])
 
-    return ranked.select(*carry, "_rank").mapInArrow(place, schema_with(pieces, carry, "sequence_id long, offset long"))
+    return ranked.select(*carry, "_rank").mapInArrow(trimmed(place), schema_with(pieces, carry, "sequence_id long, offset long"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 4096) -> DataFrame:

@@ -13,9 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from blockmill.llm.common import schema_with, sub_batches
+from blockmill.llm.common import schema_with, sub_batches, trimmed
 from blockmill.llm.labelled import training_sample
 
 PASSAGE_WORDS, MOST_LABELLED = 64, 4_000
@@ -120,7 +119,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", modu
                 cuts = np.searchsorted(of[order], np.arange(j - i + 1))
                 yield pa.RecordBatch.from_arrays([pa.array([x[order[cuts[k] : cuts[k + 1]]].tobytes() for k in range(j - i)], pa.binary()), pa.array(given[i:j], pa.int32())], names=["passages", "label"])
 
-    rows = sample.orderBy("doc_id").select("text", "label").mapInArrow(features, "passages binary, label int").collect()
+    rows = sample.orderBy("doc_id").select("text", "label").mapInArrow(trimmed(features), "passages binary, label int").collect()
     y = np.array([r["label"] > 0 for r in rows], float)
     if not len(y) or y.min() == y.max():
         return None
@@ -164,8 +163,4 @@ def score_quality(docs: DataFrame, model: QualityModel | None) -> DataFrame:
                 np.maximum.at(most, bag, f["a"])
                 yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns, pa.array(f["y"]), pa.array(np.bincount(bag, minlength=j - i)), pa.array(most)], names=[*carry, *new])
 
-    return docs.select(*[f"`{c}`" for c in carry]).mapInArrow(score, schema_with(docs, carry, "score double, n_passages long, attention double"))
-
-
-def rejected(score: str = "score", least: float = 0.5):
-    return F.col(score) < least
+    return docs.select(*[f"`{c}`" for c in carry]).mapInArrow(trimmed(score), schema_with(docs, carry, "score double, n_passages long, attention double"))

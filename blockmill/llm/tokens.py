@@ -28,7 +28,8 @@ _ALNUM = _flags(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789
 _PUNCT = _flags(b".,;:!?|%$&*#")
 _SPACE = _flags(b" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f")
 #: Last and first bytes of white space beyond ASCII, and of other characters too.
-_MAY_END_SPACE, _MAY_START_SPACE = _flags(bytes([*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF])), _flags(b"\xc2\xe1\xe2\xe3")
+_BEFORE = _SPACE | _flags(bytes([*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]))
+_AFTER = _SPACE | _flags(b"\xc2\xe1\xe2\xe3")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _rng = np.random.default_rng(17)
@@ -104,8 +105,9 @@ class WordEncoder:
         """Numbers of the texts that aren't the sum of their pieces, or have very long ones."""
         odd = [first[last - first > _LONGEST]]
         if self.blank:  # a run of white space belongs together
-            before, after = _SPACE[b[:-2]] | _MAY_END_SPACE[b[:-2]], _SPACE[b[2:]] | _MAY_START_SPACE[b[2:]]
-            odd.append(np.flatnonzero((b[1:-1] == 32) & before & after) + 1)
+            blank = np.flatnonzero(b == 32)
+            blank = blank[(blank > 0) & _BEFORE[b[blank - 1]]]
+            odd.append(blank[_AFTER[b[blank + 1]]])  # the last byte is a line feed
         else:  # marks that change a letter
             odd.append(np.flatnonzero((b == 0xCC) | (b == 0xCD)))
         return np.unique(np.searchsorted(begin, np.concatenate(odd), "right") - 1)
@@ -125,7 +127,7 @@ class WordEncoder:
                 return self._known(hashes, b, first, last)
             raw = b.tobytes()
             words = [raw[i:j].decode() for i, j in zip(first[new].tolist(), last[new].tolist(), strict=True)]
-            ids = [e.ids for k in range(0, len(words), 20_000) for e in self.tokenizer.encode_batch_fast(words[k : k + 20_000], add_special_tokens=False)]
+            ids = [e.ids for k in range(0, len(words), 2_000) for e in self.tokenizer.encode_batch_fast(words[k : k + 2_000], add_special_tokens=False)]
             sizes = np.array([len(x) for x in ids], np.int64)
             at[new] = len(self.sizes) + np.arange(len(new))
             self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
@@ -151,8 +153,12 @@ class WordEncoder:
         sums *= _up.first(len(b))
         np.cumsum(sums, out=sums)
         codes, hashes = pd.factorize((total[last] - total[first]) * _down.first(len(b))[first])
-        _, sample = np.unique(codes, return_index=True)
-        at = self._known(hashes, b, first[sample], last[sample])[codes] if len(codes) else np.zeros(0, np.int64)
+        sample = np.empty(len(hashes), np.int64)
+        sample[codes[::-1]] = np.arange(len(codes))[::-1]  # where each hash comes first
+        order = np.argsort(hashes)  # sorted, they are found faster
+        place = np.empty(len(hashes), np.int64)
+        place[order] = self._known(hashes[order], b, first[sample[order]], last[sample[order]])
+        at = place[codes]
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         ids = self.pool[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]

@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockmill.llm.common import id_crc, schema_with
+from blockmill.llm.common import schema_with, trimmed
 from blockmill.llm.labelled import training_sample
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -66,7 +66,7 @@ def _terms(sample: DataFrame, least_g: float, least_seen: int) -> list[str]:
     toxic, clean = float(n.get(1, 0)), float(n.get(0, 0))
     if not toxic or not clean:
         return []
-    words = sample.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(split, "doc long, word string, left string, label int")
+    words = sample.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(trimmed(split), "doc long, word string, left string, label int")
     often = words.where("label = 1").groupBy("word", "left").agg(F.min("doc").alias("first")).groupBy("word").agg(F.countDistinct("first").alias("p")).where(F.col("p") >= least_seen)
     other = words.where("label = 0").groupBy("word").agg(F.countDistinct("doc").alias("n"))
     both = often.join(other, "word", "left").select("word", F.col("p").cast("double"), F.coalesce("n", F.lit(0)).cast("double").alias("n"))
@@ -93,7 +93,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modul
                 rows.append([x for x in found if x])
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.list_(pa.int32()))), b.column(1)], names=["bags", "label"])
 
-    rows = sample.select("text", "label").mapInArrow(instances, "bags array<array<int>>, label int").collect()
+    rows = sample.select("text", "label").mapInArrow(trimmed(instances), "bags array<array<int>>, label int").collect()
     y = np.array([r["label"] > 0 for r in rows], float)
     bag = np.array([k for k, r in enumerate(rows) for _ in r["bags"]], int)
     sentence = np.array([i for i, s in enumerate(s for r in rows for s in r["bags"]) for _ in s], int)
@@ -136,8 +136,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, located: float = 0.5)
                 spans.append([{"start": i, "end": j, "probability": p, "text": text[i:j]} for i, j, p in found if p >= located])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array(spans, pa.list_(span))], names=[*carry, "score", "offending"])
 
-    return docs.select(*[f"`{c}`" for c in carry]).mapInArrow(score, schema_with(docs, carry, "score double, offending array<struct<start:int,end:int,probability:double,text:string>>"))
-
-
-def held_out(doc_id: Column, modulus: int = 4, remainder: int = 2) -> Column:
-    return F.coalesce(id_crc(doc_id) % modulus == remainder, F.lit(False))
+    return docs.select(*[f"`{c}`" for c in carry]).mapInArrow(trimmed(score), schema_with(docs, carry, "score double, offending array<struct<start:int,end:int,probability:double,text:string>>"))
