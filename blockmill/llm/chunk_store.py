@@ -91,8 +91,8 @@ def _slot(name: bytes) -> int:
     return int.from_bytes(name[:8], "big", signed=True)
 
 
-def chunk_rows(docs: DataFrame, encode: Encode, cutting: Cutting, bodies: bool = True) -> DataFrame:
-    """A row for each row of docs (doc_id, text): its recipe, with all chunks in body."""
+def cutter(encode: Encode, cutting: Cutting, bodies: bool = True) -> Callable:
+    """Arrow batches of doc_id and text to batches of recipes, with all chunks in body."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, press = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=LEVEL)
@@ -108,7 +108,16 @@ def chunk_rows(docs: DataFrame, encode: Encode, cutting: Cutting, bodies: bool =
                     n += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_FIELDS)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(cut), _RECIPE)
+    return cut
+
+
+def id_and_text(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), "text")
+
+
+def chunk_rows(docs: DataFrame, encode: Encode, cutting: Cutting, bodies: bool = True) -> DataFrame:
+    """A row for each row of docs (doc_id, text): its recipe."""
+    return id_and_text(docs).mapInArrow(trimmed(cutter(encode, cutting, bodies)), _RECIPE)
 
 
 def repeated_field(rows: DataFrame) -> np.ndarray:
@@ -132,10 +141,11 @@ def _pieces(raw: bytes, lengths: list[int]) -> list[bytes]:
     return [raw[s:e] for s, e in zip([0, *ends], ends, strict=False)]
 
 
-def write_store(spark: SparkSession, rows: DataFrame, counted: DataFrame, name: str, ordered: bool = False) -> str:
+def write_store(spark: SparkSession, rows: DataFrame, counted: DataFrame, name: str, ordered: bool = False, first: Callable | None = None) -> str:
     """Write rows (chunk_rows) as a store and return its path: recipes/ and chunks/.
 
-    counted is the same rows, of which only slots are read. With ordered, the recipes' files and rows
+    counted is the same rows, of which only slots are read. With first (a cutter), rows are what it
+    takes, and it runs in the same Python workers. With ordered, the recipes' files and rows
     are in ascending doc_id order, null ids first.
     """
     path, field = new_path(spark, name), spark.sparkContext.broadcast(repeated_field(counted))
@@ -164,8 +174,9 @@ def write_store(spark: SparkSession, rows: DataFrame, counted: DataFrame, name:
                 yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.binary()), pa.array([press.compress(x) for x in out.values()], pa.binary())], names=["name", "chunk"])
 
     recipes = rows.repartitionByRange("doc_id", "row_id").sortWithinPartitions("doc_id", "row_id") if ordered else rows
-    recipes.mapInArrow(trimmed(hold), _RECIPE).write.option("compression", "none").parquet(f"{path}/recipes")
-    rows.mapInArrow(trimmed(shared), "name binary, chunk binary").groupBy("name").agg(F.first("chunk").alias("chunk")).write.option("compression", "none").parquet(f"{path}/chunks")
+    before = first or (lambda batches: batches)
+    recipes.mapInArrow(trimmed(lambda batches: hold(before(batches))), _RECIPE).write.option("compression", "none").parquet(f"{path}/recipes")
+    rows.mapInArrow(trimmed(lambda batches: shared(before(batches))), "name binary, chunk binary").groupBy("name").agg(F.first("chunk").alias("chunk")).write.option("compression", "none").parquet(f"{path}/chunks")
     return path
 
 

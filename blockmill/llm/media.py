@@ -13,7 +13,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from blockmill.llm.chunk_store import Cutting, chunk_rows, read_store, write_store
+from blockmill.llm.chunk_store import Cutting, chunk_rows, cutter, id_and_text, read_store, write_store
 
 CUTTING = Cutting(window=16, bits=11, least=256, most=16_384)
 RATE, UNIT = 8_000, 64
@@ -46,7 +46,7 @@ def write_media(docs: DataFrame) -> str:
 
     A text is cut anew for each pass over it, which costs less than keeping all payloads twice.
     """
-    return write_store(docs.sparkSession, chunk_rows(docs, _payloads, CUTTING), chunk_rows(docs, _payloads, CUTTING, bodies=False), "media")
+    return write_store(docs.sparkSession, id_and_text(docs), chunk_rows(docs, _payloads, CUTTING, bodies=False), "media", first=cutter(_payloads, CUTTING))
 
 
 def read_media(spark, path: str) -> DataFrame:
