@@ -24,6 +24,8 @@ from blockmill.llm.common import schema_with, sub_batches, trimmed, written
 from blockmill.llm.tokens import encoder
 
 PIECES_PER_RANGE = 500
+#: Words whose ids a worker keeps; packing has CPU time to spare, but follows stages that fill memory.
+KEPT_WORDS = 500_000
 _HELPERS = ("_ranges", "_range", "_n", "_begin", "_rank")
 _PIECE = "doc_id long, piece_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -36,10 +38,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, window: int
     """
 
     def cut(batches):
-        part, n, coder = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
+        part, n, coder = TaskContext.get().partitionId(), 0, encoder(tokenizer_path, KEPT_WORDS)
         for b in batches:
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in sub_batches(texts):
+            for i, j in sub_batches(texts, 1_000_000):
                 out: list[tuple] = []
                 for key, ids in zip(keys[i:j], coder.encode([t or "" for t in texts[i:j]]), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")

@@ -65,7 +65,8 @@ class WordEncoder:
     Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int | None = None):
+        self.most = memo or MEMO
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -122,7 +123,7 @@ class WordEncoder:
                 at[hit] = places[k[hit]]
         new = np.flatnonzero(at < 0)
         if len(new):
-            if len(self.sizes) + len(new) > MEMO and len(self.sizes):
+            if len(self.sizes) + len(new) > self.most and len(self.sizes):
                 self._forget()
                 return self._known(hashes, b, first, last)
             raw = b.tobytes()
@@ -169,8 +170,8 @@ class WordEncoder:
         return out
 
 
-def encoder(path: str) -> WordEncoder:
-    """This worker's encoder for the file; it outlives a task."""
+def encoder(path: str, memo: int | None = None) -> WordEncoder:
+    """This worker's encoder for the file; it outlives a task. memo: pieces it may keep."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = WordEncoder(path, memo)
     return _encoders[path]
