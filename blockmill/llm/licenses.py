@@ -1,9 +1,10 @@
 """Licence scans by a positional index of rare words; DataFrame functions only.
 
-The index holds the notices' words that few notices share, each with its notices and positions. A
-text's highest-IDF licence words are looked up; postings whose text position minus notice position
-agree vote for a notice at a place; there the notice's mandatory phrase has to stand word by word.
-Texts without any word that some mandatory phrase needs can't be labelled and are left out early.
+The index holds the notices' words that few notices share, with their positions and IDF. A notice is
+looked for at every place where its mandatory phrase's rarest word stands, however many other licence
+words a text holds; there the phrase has to stand word by word. A place's score is the IDF of the
+notice's index words that stand at their positions around it. Texts without any word that some
+mandatory phrase needs can't be labelled and are left out early.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ NOTICES = (
     ("cc-by-nc", "licensed under cc by nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by", "creative commons attribution", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
 )
+#: Of oracles.py's SQL only, which still looks up that many words a text; the scan has no such bound.
 TOP_WORDS = 16
 
 
@@ -49,7 +51,7 @@ def _index(notices=NOTICES):
     return words, idf
 
 
-def scan_licenses(docs: DataFrame, notices=NOTICES, top_words: int = TOP_WORDS) -> DataFrame:
+def scan_licenses(docs: DataFrame, notices=NOTICES) -> DataFrame:
     """docs (doc_id, text) with n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base counts the places of the base phrases; first_word and last_word are null without one. score
@@ -57,12 +59,8 @@ def scan_licenses(docs: DataFrame, notices=NOTICES, top_words: int = TOP_WORDS)
     and 0 without any label. Null text is empty; every row of docs gives one row; equal texts get equal
     values. Columns of docs other than doc_id don't come along.
     """
-    spark = docs.sparkSession
     words, idf = _index(notices)
     keys = [key.split() for _, key, _ in notices]
-    at = [next(i for i in range(len(ws)) if ws[i : i + len(k)] == k) for ws, k in zip(words, keys, strict=True)]
-    postings = spark.createDataFrame([(n, w, p, idf[w]) for n, ws in enumerate(words) for p, w in enumerate(ws) if w in idf], "notice int, word string, place int, idf double")
-    facts = spark.createDataFrame([(n, label, key, at[n], len(keys[n]), sum(idf.get(w, 0.0) for w in words[n])) for n, (label, key, _) in enumerate(notices)], "notice int, label string, phrase string, phrase_at int, phrase_words int, total double")
 
     anchors = sorted({max(k, key=lambda w: (len(w) > 5, idf.get(w, 0), len(w), w)) for k in keys} | {"license"})
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -72,11 +70,10 @@ def scan_licenses(docs: DataFrame, notices=NOTICES, top_words: int = TOP_WORDS)
     asked = docs.select(name.alias("name"), text.alias("text")).where(F.col("name").isNotNull()).groupBy("name").agg(F.first("text").alias("text"))
     texts = written(asked.select("name", split.alias("words")), "licence-texts")  # once a distinct text
 
-    found = _verified(texts, postings, facts, sorted(idf, key=lambda w: (-idf[w], w)), top_words)
-    based = texts.select("name", _base_places(F.col("words")).alias("places")).join(found, "name", "left")
+    based = _verified(texts.withColumn("places", _base_places(F.col("words"))), notices, words, idf)
     base = F.array_compact(F.array(*[_labelled(n) for n, _ in sorted(BASE, key=lambda x: x[1])]))
     starts = F.transform("places", lambda p: p["start"])
-    labelled = F.array_sort(F.array_distinct(F.concat(base, F.coalesce("found", F.array().cast("array<string>")))))
+    labelled = F.array_sort(F.array_distinct(F.concat(base, "found")))
     told = based.select(
         "name", F.size("places").cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
         F.array_join(base, ",").alias("base_labels"), F.array_join(labelled, ",").alias("labels"),
@@ -118,14 +115,31 @@ def _labelled(phrase: str):
     return F.when(F.exists("places", lambda p: p["phrase"] == phrase), F.lit(dict(BASE)[phrase]))
 
 
-def _verified(texts: DataFrame, postings: DataFrame, facts: DataFrame, by_idf: list[str], top_words: int) -> DataFrame:
-    """name, found (labels), score of the texts where a notice is verified. postings and facts are as
-    large as the notices, so they are broadcast."""
-    looked_up = F.slice(F.array_intersect(F.array(*[F.lit(w) for w in by_idf]), F.col("words")), 1, top_words)
-    hits = texts.select("name", "words", looked_up.alias("top")).where(F.size("top") > 0).select("name", "top", F.posexplode("words").alias("pos", "word")).where(F.array_contains(F.col("top"), F.col("word"))).drop("top")
-    votes = hits.join(F.broadcast(postings), "word").withColumn("shift", F.col("pos") - F.col("place")).select("name", "notice", "shift", "place", "idf").distinct()
-    places = votes.groupBy("name", "notice", "shift").agg(F.sum("idf").alias("weight")).join(F.broadcast(facts), "notice")
-    start = F.col("shift") + F.col("phrase_at")
-    stands = F.array_join(F.slice(F.col("words"), F.greatest(start, F.lit(0)) + 1, F.col("phrase_words")), " ") == F.col("phrase")
-    ok = places.join(texts, "name").where((start >= 0) & stands)
-    return ok.groupBy("name").agg(F.sort_array(F.collect_set("label")).alias("found"), F.least(F.lit(1.0), F.max(F.col("weight") / F.col("total"))).alias("score"))
+def _verified(texts: DataFrame, notices, words: list[list[str]], idf: dict[str, float]) -> DataFrame:
+    """texts with found (labels of the notices that are verified; may repeat) and score, null without one."""
+    rarest = [max(range(len(k)), key=lambda i, k=k: (idf.get(k[i], 0), len(k[i]), k[i])) for k in (key.split() for _, key, _ in notices)]
+    seeds = sorted({key.split()[i] for (_, key, _), i in zip(notices, rarest, strict=True)})
+    spots = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(seeds))
+    texts = texts.withColumn("spots", F.when(F.size("words") > 0, spots).otherwise(F.array().cast("array<int>")))
+    shares = [_shares(key.split(), i, ws, idf).alias(f"share{n}") for n, ((_, key, _), i, ws) in enumerate(zip(notices, rarest, words, strict=True))]
+    shared = texts.select("name", "places", *shares)
+    found = F.array_compact(F.array(*[F.when(F.col(f"share{n}").isNotNull(), F.lit(label)) for n, (label, _, _) in enumerate(notices)]))
+    best = F.array_max(F.array(*[f"share{n}" for n in range(len(notices))]))
+    return shared.select("name", "places", found.alias("found"), F.when(best > 1, 1.0).otherwise(best).alias("score"))
+
+
+def _shares(key: list[str], rarest: int, ws: list[str], idf: dict[str, float]) -> Column:
+    """The largest share of a notice's IDF around a place of its phrase, null where the phrase never stands."""
+    stands = _standing(F.col("words"), key)
+    starts = F.filter("spots", lambda i: (i >= rarest) & stands(i - rarest))
+    at = next(i for i in range(len(ws)) if ws[i : i + len(key)] == key) + rarest
+    held = F.array(*[F.struct(F.lit(p - at).alias("by"), F.lit(w).alias("word"), F.lit(idf[w]).alias("idf")) for p, w in enumerate(ws) if w in idf])
+    total = sum(idf.get(w, 0.0) for w in ws)
+
+    def share(i: Column) -> Column:
+        def add(s: Column, x: Column) -> Column:
+            return s + F.when((i + x["by"] >= 0) & (F.get("words", i + x["by"]) == x["word"]), x["idf"]).otherwise(0.0)
+
+        return F.aggregate(held, F.lit(0.0), add) / total
+
+    return F.array_max(F.transform(starts, share) if total else F.transform(starts, lambda i: F.lit(0.0)))

@@ -39,6 +39,20 @@ def test_equals_brute_force(spark):
     assert all(0 <= s <= 1 for s in score.values())
 
 
+PROSE = "At 3 they can charge a program for code, if conditions that are met may follow: files, forms, either option, except your work, it was later subject to a purpose. "
+
+
+def test_long_texts_with_late_notices(spark):
+    """Texts with many everyday words of the index keep every notice."""
+    texts = [PROSE * 20 + notice + ". " + PROSE for _, _, notice in licenses.NOTICES]
+    texts += [PROSE + key for _, key, _ in licenses.NOTICES] + [key + " " + PROSE for _, key, _ in licenses.NOTICES]
+    texts += [PROSE + ". ".join(notice for _, _, notice in licenses.NOTICES), " ".join(ws[-1] for ws in (key.split() for _, key, _ in licenses.NOTICES)) + PROSE]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    assert {i: (r.base_labels, r.labels) for i, r in got.items()} == {i: brute(t)[4:] for i, t in enumerate(texts)}
+    assert all(got[i].score == 1.0 for i in range(len(licenses.NOTICES)))
+
+
 def test_plan_has_no_python(spark):
     plan = licenses.scan_licenses(documents(spark, CASES))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
