@@ -67,22 +67,50 @@ def grams(h: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
     return [*columns, h]
 
 
+def _planes(c: np.ndarray) -> bytes:
+    """A column's bytes, all first ones before all second ones, which compress better."""
+    return c.view(np.uint8).reshape(-1, c.itemsize).T.tobytes()
+
+
 def _pack(columns: list[np.ndarray], counts: list[np.ndarray]) -> bytes:
-    """Rows as a block. Rows sorted by the first column make small blocks."""
-    delta = np.diff(columns[0], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
-    head = np.array([len(columns[0]), len(columns), len(counts)], np.int64)
-    small = [c.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes() for c in counts]
-    return zstandard.compress(b"".join([head.tobytes(), delta.tobytes(), *[c.tobytes() for c in columns[1:]], *small]), 1)
+    """Rows as a block: a single column as differences, several as places in the block's list of words,
+    the most frequent first. Sorted rows make small blocks."""
+    n, words, raw = len(columns[0]), np.zeros(0, np.uint64), []
+    if len(columns) > 1:
+        words, at, times = np.unique(np.concatenate(columns), return_inverse=True, return_counts=True)
+        rank = np.empty(len(words), np.uint32)
+        by_times = np.argsort(-times, kind="stable")
+        rank[by_times] = np.arange(len(words), dtype=np.uint32)
+        ranks = [rank[x] for x in at.reshape(len(columns), n)]
+        order = np.lexsort(ranks[::-1])
+        raw = [_planes(np.diff(ranks[0][order], prepend=np.uint32(0))), *[_planes(r[order]) for r in ranks[1:]]]
+        counts = [c[order] for c in counts]
+        raw += [_planes(np.diff(words, prepend=np.uint64(0))), _planes(by_times.astype(np.uint32))]
+    else:
+        raw = [_planes(np.diff(columns[0], prepend=np.uint64(0)))]
+    head = np.array([n, len(columns), len(counts), len(words)], np.int64)
+    return zstandard.compress(b"".join([head.tobytes(), *raw, *[_planes(c.astype(np.uint32)) for c in counts]]), 1)
 
 
 def _unpack(block: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
     raw = zstandard.decompress(block)
-    n, width, kinds = (int(x) for x in np.frombuffer(raw, np.int64, 3))
-    first = np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 24).reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
-    rest = [np.frombuffer(raw, np.uint64, n, 24 + 8 * n * k) for k in range(1, width)]
-    at = 24 + 8 * n * width
-    counts = [np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at + 4 * n * k).reshape(4, n).T).view(np.uint32).ravel().astype(np.int64) for k in range(kinds)]
-    return [first, *rest], counts
+    n, width, kinds, known = (int(x) for x in np.frombuffer(raw, np.int64, 4))
+    at = 32
+
+    def column(n: int, kind: type) -> np.ndarray:
+        nonlocal at
+        size = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, size * n, at).reshape(size, n)
+        at += size * n
+        return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+    if width > 1:
+        ranks = [np.cumsum(column(n, np.uint32), dtype=np.uint32), *[column(n, np.uint32) for _ in range(width - 1)]]
+        words = np.cumsum(column(known, np.uint64), dtype=np.uint64)[column(known, np.uint32)]
+        columns = [words[r] for r in ranks]
+    else:
+        columns = [np.cumsum(column(n, np.uint64), dtype=np.uint64)]
+    return columns, [column(n, np.uint32).astype(np.int64) for _ in range(kinds)]
 
 
 def _summed(columns: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
@@ -97,10 +125,7 @@ def _summed(columns: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[n
 def _dealt(kind: int, columns: list[np.ndarray], counts: list[np.ndarray], parts: int) -> Iterator[tuple[int, int, bytes]]:
     """Blocks of distinct rows by the part of their hash."""
     columns, keys, counts = _summed(columns, counts)
-    part = part_of(keys, parts)
-    if len(columns) > 1:  # sorted by hash they are sorted by part; by first column in a part they are small
-        order = np.lexsort((columns[0], part))
-        columns, counts, part = [c[order] for c in columns], [c[order] for c in counts], part[order]
+    part = part_of(keys, parts)  # sorted by hash they are sorted by part
     cuts = np.searchsorted(part, np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(cuts)):
         i, j = cuts[p], cuts[p + 1]
@@ -114,7 +139,9 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 @dataclass
 class NgramModel:
-    """folder holds, for each order n and part p: n-p.npy-like raw files of keys, counts and contexts."""
+    """folder holds, for each order n and part p, raw files of keys and values: n-p has n-grams' counts and,
+    below the highest order, their figures as contexts of order n + 1, up to 255; n-big-p and cn-big-p
+    have those above 254, c2-p has single words as contexts, 1-p words."""
 
     folder: str
     order: int
@@ -159,7 +186,7 @@ def _load(folder: str, name: str, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-def _merge(folder: str, order: int, parts: int):
+def _merge(folder: str, order: int, parts: int, most: int):
     """Kinds of blocks: 0 words with their counts, n n-grams of order n with theirs, 100 + n contexts of
     order n with their total and their numbers of words seen once, twice and more often; -1 figures."""
 
@@ -170,14 +197,28 @@ def _merge(folder: str, order: int, parts: int):
         for kind, block in zip(group.column("kind").to_pylist(), group.column("block").to_pylist(), strict=True):
             kinds.setdefault(kind, []).append(_unpack(block))
         joined = {k: _summed(*[[np.concatenate([x[w][i] for x in xs]) for i in range(len(xs[0][w]))] for w in (0, 1)]) for k, xs in kinds.items()}
+        contexts, few = np.zeros(0, np.uint64), np.zeros((4, 0), np.int64)
         if 101 + order in joined:
-            _, keys, (total, *few) = joined[101 + order]
-            _save(folder, f"c{order + 1}-{part}", keys, total.astype(np.uint64), *[x.astype(np.uint32) for x in few])
+            _, contexts, few = joined[101 + order]
+            few = np.stack(few)
+            big = np.flatnonzero(few[0] > 254)  # the total is the largest of them
+            _save(folder, f"c{order + 1}-big-{part}", contexts[big], *few[:, big].astype(np.uint64))
+        if order == 1:
+            _save(folder, f"c2-{part}", contexts, *np.minimum(few, 255).astype(np.uint8))
         if order > 1 and order in joined:
             columns, keys, (counts,) = joined[order]
-            _save(folder, f"{order}-{part}", keys, np.minimum(counts, 255).astype(np.uint8))
+            # nearly all n-grams are contexts too, so both have one list of keys
+            both = np.union1d(keys, contexts)
+            held = np.zeros((1 if order == most else 5, len(both)), np.uint8)
+            held[0, np.searchsorted(both, keys)] = np.minimum(counts, 255)
+            if order < most:
+                held[1:, np.searchsorted(both, contexts)] = np.minimum(few, 255)
+            _save(folder, f"{order}-{part}", both, *held)
             big = np.flatnonzero(counts > 254)
             _save(folder, f"{order}-big-{part}", keys[big], counts[big].astype(np.uint64))
+        elif order > 1 and len(contexts):
+            _save(folder, f"{order}-{part}", contexts, np.zeros(len(contexts), np.uint8), *np.minimum(few, 255).astype(np.uint8))
+        if order > 1 and order in joined:
             out.append((-1, part, np.array([(counts == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes()))
             ones = [(counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts > 2).astype(np.int64)]
             out += _dealt(100 + order, [mix(*columns[:-1])], [counts, *ones], parts)
@@ -233,10 +274,11 @@ def fit_ngrams(docs: DataFrame, order: int = 2, parts: int | None = None) -> Ngr
     stats: dict[int, np.ndarray] = {}
     before = None
     for n in range(order, 0, -1):
-        blocks = written(rows.groupBy("part").applyInArrow(_merge(model.folder, n, parts), _BLOCKS), "ngram-blocks")
+        blocks = written(rows.groupBy("part").applyInArrow(_merge(model.folder, n, parts, order), _BLOCKS), "ngram-blocks")
         if before is not None:
             discard(before)
         before, rows = blocks, blocks
+        spark._jvm.System.gc()  # lets Spark delete the files of shuffles that nothing reads any more
         found = rows.where("kind = -1").select("block").collect()  # a few numbers a part
         stats[n] = sum((np.frombuffer(r["block"], np.int64) for r in found), np.zeros(8 if n == 1 else 4, np.int64))
         rows = rows.where("kind >= 0")
@@ -263,9 +305,9 @@ def _find(model: NgramModel, name: str, kinds: tuple, h: np.ndarray) -> list[np.
     bounds = np.searchsorted(part_of(h, model.parts), np.arange(model.parts + 1))
     for p in np.flatnonzero(np.diff(bounds)):
         ask = np.arange(bounds[p], bounds[p + 1])
-        if (name, p) not in opened:
-            opened[name, p] = _load(model.folder, f"{name}-{p}", *kinds)
-        keys, *values = opened[name, p]
+        if (name, p, kinds) not in opened:
+            opened[name, p, kinds] = _load(model.folder, f"{name}-{p}", *kinds)
+        keys, *values = opened[name, p, kinds]
         if len(keys):
             at = np.minimum(np.searchsorted(keys, h[ask]), len(keys) - 1)
             hit = keys[at] == h[ask]
@@ -288,7 +330,14 @@ def log_probabilities(model: NgramModel, h: np.ndarray, sizes: np.ndarray) -> tu
         columns, d = grams(h, sizes, n), model.discounts[n]
         context = mix(*columns[:-1])
         contexts, of = np.unique(context, return_inverse=True)
-        total, n1, n2, n3 = (x.astype(float) for x in _find(model, f"c{n}", (np.uint64, np.uint64, np.uint32, np.uint32, np.uint32), contexts))
+        if n == 2:
+            few = np.array(_find(model, "c2", (np.uint64, *[np.uint8] * 4), contexts), float)
+        else:
+            few = np.array(_find(model, f"{n - 1}", (np.uint64, *[np.uint8] * 5), contexts)[1:], float)
+        many = np.flatnonzero(few[0] == 255)  # the total is the largest of them
+        if len(many):
+            few[:, many] = _find(model, f"c{n}-big", (np.uint64, *[np.uint64] * 4), contexts[many])
+        total, n1, n2, n3 = few
         key, again = np.unique(mix(*columns), return_inverse=True)
         (count,) = _find(model, f"{n}", (np.uint64, np.uint8), key)
         count = count.astype(np.int64)

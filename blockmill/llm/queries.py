@@ -45,7 +45,7 @@ def op4_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(id_crc(F.col("doc_id")) % 7 == 2, F.lit(False))
-    model = ngram_lm.fit_ngrams(docs.where(~held_out))
+    model = ngram_lm.fit_ngrams(docs.where(~held_out), order=3)
     scored = ngram_lm.score_ngrams(docs.withColumn("held_out", held_out), model)
     return scored.withColumn("train_tokens", F.lit(model.train_tokens).cast("long"))
 

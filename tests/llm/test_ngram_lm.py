@@ -1,9 +1,11 @@
 import math
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from blockmill.llm import ngram_lm
+from blockmill.llm import ngram_lm, queries
 
 TEXTS = [(0, "a b a b c"), (1, "a b a b c"), (2, ""), (3, None), (4, "The the cat\tsat on the mat the cat"), (5, "b c a  b é"), (6, "x " * 300), (7, "the cat sat on a mat")]
 SCHEMA = "doc_id long, text string, score string"
@@ -78,3 +80,24 @@ def test_more_than_255_of_a_kind(spark):
     model = ngram_lm.fit_ngrams(df, parts=2)
     want = brute(["x " * 1000], [(0, "x " * 1000)], 2)[0]
     assert ngram_lm.score_ngrams(df, model).first().score == pytest.approx(want[3])
+
+
+def test_query_uses_more_than_one_word_of_context(spark, tmp_path):
+    texts = [(i, ["p a x", "q a y", "p a x z", "q a y z", "r a"][i % 5]) for i in range(60)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = brute([t for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2], texts, 3)
+    got = {r.doc_id: r.score for r in queries.op5_kneser_ney(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx({i: w[3] for i, w in want.items()})
+
+
+@pytest.mark.parametrize("width", [1, 2, 3])
+def test_blocks_keep_rows(width):
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 2**64, 300, np.uint64)
+    for n in (0, 1, 2000):
+        columns = [words[rng.integers(0, 300, n)] for _ in range(width)]
+        if width == 1:
+            columns = [np.sort(columns[0])]
+        counts = [rng.integers(0, 2**32, n), np.arange(n)]
+        back = ngram_lm._unpack(ngram_lm._pack(columns, counts))
+        assert sorted(zip(*(c.tolist() for cs in back for c in cs))) == sorted(zip(*(c.tolist() for cs in (columns, counts) for c in cs)))
