@@ -26,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockmill.llm.common import around, sub_batches, trimmed, written
@@ -209,27 +209,33 @@ def document_classes(docs: DataFrame, width: int = 5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(classes), "doc_id long, n_shingles long, class long")
 
 
+def _null_id_text() -> Column:
+    """A row's text as a number where its id is null, which then names the row; else null."""
+    return F.when(F.col("doc_id").cast("long").isNull(), F.xxhash64("text"))
+
+
 def _keyed_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """class, first_id (its smallest doc_id), size, point, keys: one row a class."""
+    """class, first_id (its smallest doc_id), null_text (of one of its rows without an id), size, point,
+    keys: one row a class."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width) if percent < GROUPS_FROM else np.zeros(0, np.uint64))
 
     def keyed(batches):
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()
+            ids, nulls, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()
             for i, j in sub_batches(texts):
                 rows = []
-                for doc, s in zip(ids[i:j], (shingles(t, width) for t in texts[i:j]), strict=True):
+                for doc, null, s in zip(ids[i:j], nulls[i:j], (shingles(t, width) for t in texts[i:j]), strict=True):
                     if len(s):
                         check = int(np.int64(xxhash.xxh3_64_intdigest(s.tobytes(), 1) - (1 << 63)))
-                        rows.append((doc, _class_id(s), check, len(s), point_of(s).tobytes(), set_keys(s, percent, frequent.value).astype(np.int64)))
+                        rows.append((doc, null, _class_id(s), check, len(s), point_of(s).tobytes(), set_keys(s, percent, frequent.value).astype(np.int64)))
                 if rows:
                     keys = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(r[-1]) for r in rows]]), pa.int32()), pa.array(np.concatenate([r[-1] for r in rows])))
-                    yield pa.RecordBatch.from_arrays([*[pa.array([r[k] for r in rows], pa.int64() if k < 4 else pa.binary()) for k in range(5)], keys], names=["doc_id", "class", "check", "size", "point", "keys"])
+                    yield pa.RecordBatch.from_arrays([*[pa.array([r[k] for r in rows], pa.int64() if k < 5 else pa.binary()) for k in range(6)], keys], names=["doc_id", "null_text", "class", "check", "size", "point", "keys"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(keyed), "doc_id long, class long, check long, size long, point binary, keys array<long>")
-    one = rows.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.min("check").alias("low"), F.max("check").alias("high"), F.first(F.struct("size", "point", "keys")).alias("row"))
+    rows = docs.select(F.col("doc_id").cast("long"), _null_id_text().alias("null_text"), "text").mapInArrow(trimmed(keyed), "doc_id long, null_text long, class long, check long, size long, point binary, keys array<long>")
+    one = rows.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.min("null_text").alias("null_text"), F.min("check").alias("low"), F.max("check").alias("high"), F.first(F.struct("size", "point", "keys")).alias("row"))
     sure = F.when(F.col("low") == F.col("high"), F.col("row")).otherwise(F.raise_error(F.lit("two sets share a 64-bit class id")))
-    return one.select("class", "first_id", sure.alias("row")).select("class", "first_id", "row.*")
+    return one.select("class", "first_id", "null_text", sure.alias("row")).select("class", "first_id", "null_text", "row.*")
 
 
 def _shared(batches) -> np.ndarray:
@@ -304,13 +310,14 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int, percent: int, b
     chained = connected_components(pairs)
     chained = chained.select("node", "root").union(chained.select(F.col("root").alias("node"), "root").distinct())
     counts = chained.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    asked = chained.withColumnRenamed("node", "class").join(classes.select("class", "first_id"), "class").join(counts, "root")
+    asked = chained.withColumnRenamed("node", "class").join(classes.select("class", "first_id", "null_text"), "class").join(counts, "root")
     mine = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     others = F.when(F.col("blocks") > 1, F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("mine"))).otherwise(F.array(F.lit(0)))
     asked = written(asked.withColumn("mine", mine).withColumn("other", F.explode(others)).select(
-        F.col("first_id").alias("doc_id"), "class", F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("task")), "asked")
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    texts = texts.join(F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked, "doc_id")
+        F.col("first_id").isNull().alias("no_id"), F.coalesce("first_id", "null_text").alias("row"), "class", F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("task")), "asked")
+    doc_id = F.col("doc_id").cast("long")
+    texts = docs.select(doc_id.isNull().alias("no_id"), F.coalesce(doc_id, _null_id_text()).alias("row"), "text")
+    texts = texts.join(F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked, ["no_id", "row"])
 
     def link(batches):
         task, held = None, {}

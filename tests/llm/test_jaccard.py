@@ -83,6 +83,17 @@ def test_one_of_each(spark):
     assert ids.count(None) == 2
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_rows_without_an_id_bridge_others(spark, percent):
+    words = [f"w{k}" for k in range(200)]
+    cut = 14 if percent == 80 else 7  # one cut keeps the threshold, two don't
+    left, middle, right = words[:-cut], words, words[cut:]
+    rows = [(5, " ".join(left)), (None, " ".join(middle)), (None, " ".join(middle)), (3, " ".join(right)), (None, "one of its own kind"), (0, "and another")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard.jaccard_components(docs, 3, percent).collect()), key=repr)
+    assert got == sorted([(5, 3), (None, 3), (None, 3), (3, 3), (None, None), (0, 0)], key=repr)
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert jaccard.jaccard_components(df).count() == 0
