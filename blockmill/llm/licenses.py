@@ -39,8 +39,6 @@ NOTICES = (
     ("cc-by-nc", "licensed under cc by nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by", "creative commons attribution", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
 )
-#: Of oracles.py's SQL only, which still looks up that many words a text; the scan has no such bound.
-TOP_WORDS = 16
 
 
 def _index(notices=NOTICES):

@@ -34,7 +34,7 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r ON w.doc_id = r.a GROUP BY w.doc_i
 
 def _license_sql() -> str:
     """The scan of licenses.py over every text, without ruling any out."""
-    from blockmill.llm.licenses import BASE, NOTICES, TOP_WORDS, WORDS, _index
+    from blockmill.llm.licenses import BASE, NOTICES, WORDS, _index
 
     words, idf = _index()
     quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
@@ -50,10 +50,7 @@ d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coa
 w AS (SELECT r, unnest(range(len(ws))) AS pos, unnest(ws) AS word FROM d),
 b AS (SELECT w.r, pos, label FROM w JOIN d USING (r) JOIN base ON word = phrase[1] AND ws[pos + 1:pos + len(phrase)] = phrase),
 n AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS base FROM b GROUP BY r),
-seen AS (SELECT r, word, any_value(idf) AS idf FROM w JOIN (SELECT DISTINCT word, idf FROM postings) USING (word) GROUP BY ALL),
-top AS (SELECT r, word FROM seen QUALIFY row_number() OVER (PARTITION BY r ORDER BY idf DESC, word) <= {TOP_WORDS}),
-v AS (SELECT DISTINCT r, notice, pos - place AS shift, place, idf FROM w JOIN top USING (r, word) JOIN postings USING (word)),
-p AS (SELECT r, notice, shift, sum(idf) AS weight FROM v GROUP BY ALL),
+p AS (SELECT r, notice, pos - place AS shift, sum(idf) AS weight FROM w JOIN postings USING (word) GROUP BY ALL),
 f AS (SELECT p.r, label, weight / total AS share FROM p JOIN facts USING (notice) JOIN d USING (r)
   WHERE shift + phrase_at >= 0 AND ws[shift + phrase_at + 1:shift + phrase_at + len(phrase)] = phrase),
 g AS (SELECT r, list(DISTINCT label) AS found, least(1.0, max(share)) AS score FROM f GROUP BY r)

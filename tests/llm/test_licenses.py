@@ -53,6 +53,21 @@ def test_long_texts_with_late_notices(spark):
     assert all(got[i].score == 1.0 for i in range(len(licenses.NOTICES)))
 
 
+def test_all_notices_in_one_text(spark):
+    """All labels, by the scan and by its SQL."""
+    import duckdb
+    import pandas as pd
+
+    from blockmill.llm import oracles
+
+    text = PROSE + ". ".join(notice for _, _, notice in licenses.NOTICES) + PROSE * 30
+    found = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    documents = pd.DataFrame({"doc_id": [1], "text": [text]})  # noqa: F841
+    want = duckdb.connect().execute(oracles.op8_license_scan).fetchone()
+    assert tuple(found) == want
+    assert found.labels == ",".join(sorted({label for label, _, _ in licenses.NOTICES})) and found.labels.count(",") == 10
+
+
 def test_plan_has_no_python(spark):
     plan = licenses.scan_licenses(documents(spark, CASES))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
