@@ -167,31 +167,43 @@ def search(vectors: DataFrame, queries: DataFrame, model: Partitions | None, k:
     """query_id, rank, vec_id, score: each query's k nearest rows by Euclidean distance, itself left out.
 
     Ties go to the smaller id. Unusable vectors (see usable) and vectors of another dimension take no
-    part; of repeated ids a query counts once and a candidate by its nearest row. Null ids take no part.
+    part; of repeated ids a query counts once, by its smallest usable vector, and a candidate by its
+    nearest row. Null ids take no part. A query whose partitions hold too few rows visits more of them.
     """
     spark = vectors.sparkSession
     if model is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(model)
 
-    def placed(most: int):
+    def placed(most: int, rows_of: np.ndarray | None = None, least: int = 0):
+        """The most probable partitions, and of these as many more as hold at least `least` rows."""
+
         def place(batches):
             fitted = shared.value
             for b in batches:
                 if b.num_rows:
                     x = np.asarray(b.column(1).flatten()).astype(float).reshape(b.num_rows, -1)
-                    best = fitted.probable(x, most)
-                    at = np.repeat(np.arange(len(x)), best.shape[1])
-                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in b.columns), pa.array(best.ravel(), pa.int32())], names=["id", "v", "part"])
+                    best = fitted.probable(x, fitted.count if least else most)
+                    visited = np.broadcast_to(np.arange(best.shape[1]) < most, best.shape)
+                    if least:
+                        visited = visited | (np.cumsum(rows_of[best], 1) - rows_of[best] < least)
+                    at = np.repeat(np.arange(len(x)), visited.sum(1))
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in b.columns), pa.array(best[visited], pa.int32())], names=["id", "v", "part"])
 
         return place
 
-    def rows(df: DataFrame, most: int) -> DataFrame:
+    def taking_part(df: DataFrame) -> DataFrame:
         ok = df.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull() & (F.size(vector_col) == model.dimension))
-        return ok.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(trimmed(placed(most)), "id long, v array<double>, part int")
-
-    asked = written(rows(queries.groupBy(id_col).agg(F.min(vector_col).alias(vector_col)), model.visits), "ann-queries")
-    base = written(rows(vectors, 1), "ann-index")
+        return ok.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+
+    indexed = "id long, v array<double>, part int"
+    base = written(taking_part(vectors).mapInArrow(trimmed(placed(1)), indexed), "ann-index")
+    held = np.zeros(model.count, np.int64)
+    for r in base.groupBy("part").count().collect():  # a row a partition
+        held[r["part"]] = r["count"]
+    again = base.agg((F.count("*") - F.count_distinct("id")).alias("n")).first()["n"]  # rows that repeat an id
+    one = taking_part(queries).groupBy("id").agg(F.min("v").alias("v"))
+    asked = written(one.mapInArrow(trimmed(placed(model.visits, held, k + 1 + again)), indexed), "ann-queries")
     blocks = lambda df, size, name: df.groupBy("part").agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias(name))
     grid = F.broadcast(blocks(base, BASE_BLOCK, "nb").join(blocks(asked, QUERY_BLOCK, "nq"), "part"))  # a row a partition
     a = base.join(grid, "part").select("id", "v", "part", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"))

@@ -58,6 +58,23 @@ def test_recall_with_partitions(spark):
     assert all(sorted(k for k, _ in v) == list(range(1, 11)) for v in got.values())
 
 
+def test_repeated_queries_keep_their_usable_row(spark):
+    rows = [(100, [0.0, 0.0]), (100, [1.0, 1.0]), (1, [1.0, 2.0]), (2, [5.0, 1.0]), (200, None), (200, [2.0, 2.0]), (3, [1.0, 2.0, 3.0])]
+    df = frame(spark, rows)
+    found = neighbours.search(df, df.where("vec_id % 100 = 0"), neighbours.fit_partitions(df)).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in found) == [(100, 1, 1), (100, 2, 200), (100, 3, 2), (200, 1, 1), (200, 2, 100), (200, 3, 2)]
+
+
+def test_a_query_of_small_partitions_finds_all(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(rng.normal(0, 1, (700, 4)).astype(np.float32))]
+    model = neighbours.fit_partitions(frame(spark, rows))
+    model.visits = 1
+    few = frame(spark, rows[:14])
+    found = neighbours.search(few, few.where("vec_id < 5"), model, k=13).groupBy("query_id").count().collect()
+    assert model.count > 1 and {(r.query_id, r["count"]) for r in found} == {(i, 13) for i in range(5)}
+
+
 def test_partitions_are_balanced():
     x = np.random.default_rng(4).normal(0, 1, (1001, 6))
     graph = neighbours.exact_neighbours(x, x, 8, np.arange(len(x)))
