@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ import pandas as pd
 MEMO = 1_500_000
 _LONGEST = 256
 _encoders: dict = {}
+_PROBES = ["It's a \tTEST, isn't it?  No: 12,345.6% of x|y -- (a_b) [c] \"d\" #1 $2 *3 &4;", "\n\nÉtait-ce l'été? Straße 5!\r\n e\u0301 \u4e2d\u6587\u3000x  y", "we'll they've I'm 3rd ... !!! a.b,c;d:e", ""]
 
 
 def _flags(chars: bytes) -> np.ndarray:
@@ -62,7 +64,8 @@ def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 class WordEncoder:
     """Ids of texts as uint32 arrays, equal to Tokenizer.encode(text, add_special_tokens=False).ids.
 
-    Strings of special tokens in a text are ordinary text.
+    Texts that hold the string of an added token, in any case, are the library's own. Other tokenizers
+    than those that cut as said above are refused; some fixed texts are compared to tell.
     """
 
     def __init__(self, path: str, memo: int | None = None):
@@ -71,14 +74,17 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
         #: byte-level: a piece keeps the blank before it; otherwise white space is dropped
         self.blank = spec["pre_tokenizer"]["type"] == "ByteLevel"
         if not self.blank and spec["model"].get("end_of_word_suffix") != "</w>" or self.blank and spec["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError(f"{path}: only tokenizers that cut at white space are supported")
         self.lower = not self.blank and any(x["type"] == "Lowercase" for x in spec["normalizer"]["normalizers"])
+        added = sorted({t["content"].lower().encode() for t in spec["added_tokens"]} - {b""})
+        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
         self._forget()
+        if [x.tolist() for x in self.encode(_PROBES)] != [e.ids for e in self.tokenizer.encode_batch(_PROBES, add_special_tokens=False)]:
+            raise ValueError(f"{path}: this tokenizer cuts texts in other places than those supported")
 
     def _forget(self) -> None:
         #: sorted hashes and their places: most pieces, and those met lately
@@ -105,6 +111,8 @@ class WordEncoder:
     def _by_itself(self, b: np.ndarray, first: np.ndarray, last: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """Numbers of the texts that aren't the sum of their pieces, or have very long ones."""
         odd = [first[last - first > _LONGEST]]
+        if self.added:
+            odd.append(np.array([m.start() for m in self.added.finditer(_LOWER[b].tobytes())], np.int64))
         if self.blank:  # a run of white space belongs together
             blank = np.flatnonzero(b == 32)
             blank = blank[(blank > 0) & _BEFORE[b[blank - 1]]]
@@ -171,7 +179,8 @@ class WordEncoder:
 
 
 def encoder(path: str, memo: int | None = None) -> WordEncoder:
-    """This worker's encoder for the file; it outlives a task. memo: pieces it may keep."""
+    """This worker's encoder for the file; it outlives a task. memo: pieces it may keep from now on."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path, memo)
+    _encoders[path].most = memo or MEMO
     return _encoders[path]

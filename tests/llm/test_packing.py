@@ -17,10 +17,10 @@ PATHS = [public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.
 def test_ids_equal_the_librarys(path):
     rng = random.Random(1)
     letters = "aB1é.,'|% \n\t!sÉ́ ßΣİ中K\r\x0b\x1c\x85 -\"<|>jJ"
-    texts = ["", " ", "\n", "  a  b", "Don't STOP.'s x", "J̌ é X̸", "<|endoftext|> <|startoftext|>", "a   b", "x" * 5000, "w " * 3000, "\0 \0a", "﻿a b"]
+    texts = ["", " ", "\n", "  a  b", "Don't STOP.'s x", "J̌ é X̸", "<|endoftext|> <|startoftext|>", "a<|endoftext|>b <|EndOfText|>.<|STARTOFTEXT|>", "a   b", "x" * 5000, "w " * 3000, "\0 \0a", "﻿a b"]
     texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(80))) for _ in range(4000)]
+    texts += [rng.choice(texts) + rng.choice(["<|endoftext|>", "<|startoftext|>", "<|ENDoftext|>"]) + rng.choice(texts) for _ in range(300)]
     encoder, library = WordEncoder(path), Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     for batch in (texts, texts[::-1], [], [""], ["", "", "a"]):
         got = encoder.encode(batch)
         want = [e.ids for e in library.encode_batch(batch, add_special_tokens=False)]
