@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from blockmill.llm.common import schema_with, sub_batches, trimmed
 from blockmill.llm.labelled import training_sample
 
-PASSAGE_WORDS, MOST_LABELLED = 64, 4_000
+#: Words of a passage; labelled documents and passages of each (spread over the whole text) to learn from.
+PASSAGE_WORDS, MOST_LABELLED, MOST_PASSAGES = 64, 4_000, 64
 _CLASSES = 12
 
 
@@ -106,8 +107,11 @@ class QualityModel:
         return {"W": f["x"].T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "s": (t * g).T @ de, "c": f["z"].T @ dy, "d": dy.sum(keepdims=True)}
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held_out: int = 1, most_labelled: int = MOST_LABELLED, epochs: int = 40, width: int = 16, seed: int = 5) -> QualityModel | None:
-    """A model from at most most_labelled labelled rows, or None if they don't hold both labels."""
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held_out: int = 1, most_labelled: int = MOST_LABELLED, most_passages: int = MOST_PASSAGES, epochs: int = 40, width: int = 16, seed: int = 5) -> QualityModel | None:
+    """A model from at most most_labelled labelled rows and most_passages passages of each, evenly spread
+    over its text, so the driver holds a bounded number of features; None if the rows don't hold both
+    labels. Scoring takes all passages.
+    """
     sample = training_sample(docs, labels, label, modulus, held_out, most_labelled)
 
     def features(batches):
@@ -117,7 +121,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", modu
                 x, of = passage_features(texts[i:j])
                 order = np.argsort(of, kind="stable")
                 cuts = np.searchsorted(of[order], np.arange(j - i + 1))
-                yield pa.RecordBatch.from_arrays([pa.array([x[order[cuts[k] : cuts[k + 1]]].tobytes() for k in range(j - i)], pa.binary()), pa.array(given[i:j], pa.int32())], names=["passages", "label"])
+                own = [order[cuts[k] : cuts[k + 1]] for k in range(j - i)]
+                some = [o if len(o) <= most_passages else o[np.arange(most_passages) * len(o) // most_passages] for o in own]
+                yield pa.RecordBatch.from_arrays([pa.array([x[o].tobytes() for o in some], pa.binary()), pa.array(given[i:j], pa.int32())], names=["passages", "label"])
 
     rows = sample.orderBy("doc_id").select("text", "label").mapInArrow(trimmed(features), "passages binary, label int").collect()
     y = np.array([r["label"] > 0 for r in rows], float)
