@@ -22,7 +22,7 @@ from blockmill.llm.labelled import training_sample
 
 WORDS = re.compile(r"[^\W\d_]+")
 SENTENCES = re.compile(r"[^.!?\n]+[.!?]*")
-MOST_LABELLED, MOST_TERMS = 20_000, 2_000
+MOST_LABELLED = 20_000
 
 
 @dataclass
@@ -74,7 +74,7 @@ def _terms(sample: DataFrame, least_g: float, least_seen: int) -> list[str]:
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     g2 = 2 * (part(F.col("p"), seen * toxic / total) + part(F.col("n"), seen * clean / total) + part(toxic - F.col("p"), toxic * (total - seen) / total) + part(F.greatest(clean - F.col("n"), F.lit(0.0)), clean * (total - seen) / total))
     g = F.when(F.col("p") * clean > F.col("n") * toxic, F.sqrt(F.greatest(g2, F.lit(0.0)))).otherwise(0.0)
-    return [r["word"] for r in both.withColumn("g", g).where(F.col("g") >= least_g).orderBy(F.desc("g"), "word").limit(MOST_TERMS).collect()]
+    return [r["word"] for r in both.withColumn("g", g).where(F.col("g") >= least_g).orderBy(F.desc("g"), "word").collect()]  # of a bounded sample's words
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, held_out: int = 2, most_labelled: int = MOST_LABELLED, least_g: float = 4.5, least_seen: int = 4, steps: int = 300) -> ToxicityModel:
