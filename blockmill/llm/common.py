@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,9 +56,38 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
+    for made in _scopes()[-1:]:
+        made.append(out)
     return out
 
 
+_local = threading.local()
+
+
+def _scopes() -> list[list[DataFrame]]:
+    if not hasattr(_local, "scopes"):
+        _local.scopes = []
+    return _local.scopes
+
+
+@contextmanager
+def temporary():
+    """Tables that written() makes inside are deleted at the end, but for those given to the function
+    that this yields. For work whose result is itself a written table."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _scopes().append(made)
+    try:
+        yield lambda df: kept.append(df) or df
+    finally:
+        _scopes().pop()
+        for df in made:
+            if not any(df is k for k in kept):
+                discard(df)
+        for outer in _scopes()[-1:]:
+            outer.extend(kept)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that written() gave and that nothing reads any more."""
     _delete(df.sparkSession, df._written)
@@ -106,6 +137,31 @@ def trimmed(work: Callable) -> Callable:
     return run
 
 
+#: Rows of one key from which its rows are joined by broadcast, and keys that may be broadcast (30 bytes
+#: each; facts are a few numbers and short texts).
+HOT_ROWS, MOST_HOT = 1_000, 200_000
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows joined with facts (at most one row a key; inner or left), where no key's rows meet in one task.
+
+    rows must be a written table, as it is counted and read several times, and so should facts be if
+    they cost work. Keys of many rows are joined by broadcast, the others by a shuffle, and rows without
+    a key by neither. There are at most n / hot_rows keys of the first kind, and hot_rows grows with the
+    table, so that these are never more than MOST_HOT.
+    """
+    least = max(hot_rows, -(-rows.count() // MOST_HOT))
+    keyed = rows.where(F.col(key).isNotNull())
+    hot = written(keyed.groupBy(key).count().where(F.col("count") >= least).select(key), "hot-keys")
+    if hot.isEmpty():
+        out = keyed.join(facts, key, how)
+    else:
+        known = facts.join(F.broadcast(hot), key, "left_semi")
+        out = keyed.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(known), key, how)
+        out = out.unionByName(keyed.join(F.broadcast(hot), key, "left_anti").join(facts, key, how))
+    return out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else out
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(F.coalesce(c, F.lit("")), UPPER, LOWER)
 

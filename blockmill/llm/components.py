@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockmill.llm.common import written
+from blockmill.llm.common import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,4 +36,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = mark
-        edges = written(_small_star(_large_star(edges).distinct()).distinct(), "edges")
+        before, edges = edges, written(_small_star(_large_star(edges).distinct()).distinct(), "edges")
+        discard(before)

@@ -16,9 +16,9 @@ pair, by keys that linked sets share:
   a common key are points of a tree, and only those that the bound lets pass go on together.
 
 Classes that go on together are chained; nearly all classes stay alone and end here. Each chain is a
-tree's points once more, with its sets; chains over BLOCK classes are dealt in pairs of blocks. Inside
-a task links are only sought between classes that aren't linked yet through others, so a group of
-copies costs about one verified link a member.
+tree's points once more, with its sets; chains and keys over BLOCK classes are dealt in pairs of blocks.
+Inside a task links are only sought between classes that aren't linked yet through others, so a group
+of copies costs about one verified link a member.
 """
 
 from __future__ import annotations
@@ -29,18 +29,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockmill.llm.common import around, sub_batches, trimmed, written
+from blockmill.llm.common import MOST_HOT, around, spread_join, sub_batches, temporary, trimmed, written
 from blockmill.llm.components import connected_components
 from blockmill.llm.ngram_lm import _LOWER, mix
 
-BLOCK = 1_000
+#: Classes of a block, and shingles of all of a block's sets (8 bytes each).
+BLOCK, BLOCK_SHINGLES = 1_000, 2_000_000
+#: Pairs of (key, class), 16 bytes each, that a task combines before they are shuffled.
+_FLUSH = 2_000_000
+#: Classes of one key, 16 bytes each, up to which one task looks at them together (below GROUPS_FROM).
+HOT_KEY = 1_000_000
 #: Rows of (class, chain), 24 bytes each, up to which they are broadcast to fetch texts.
 MOST_BROADCAST = 400_000
 #: From this threshold on keys are whole groups.
 GROUPS_FROM = 90
 #: Documents of the sample that tells frequent shingles, the least number of them, and shingles kept.
 ORDER_SAMPLE, ORDER_SEEN, ORDER_MOST = 20_000, 3, 200_000
-_LEAF, _FULL = 16, 255
+_BOX, _FULL = 16, 255
 
 
 def shingles(text: bytes | None, width: int) -> np.ndarray:
@@ -128,32 +133,38 @@ def _counts(points: np.ndarray) -> np.ndarray:
 
 
 class CountTree:
-    """Points of one number of groups in boxes of up to 16, packed by halving along the widest
-    coordinate."""
+    """An R-tree over points of one number of groups: points are put in an order by halving along the
+    widest coordinate, 16 neighbours make a box, 16 boxes a box of the next level, up to one level of
+    16 boxes or fewer. A search goes down from there into boxes that the bound lets pass."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.points, self.sizes, self.leaves = _counts(points), sizes, []
-        todo = [np.arange(len(points))]
+        points, cells, todo = _counts(points), [], [np.arange(len(points))]
         while todo:
             ids = todo.pop()
-            if len(ids) <= _LEAF:
-                self.leaves.append(ids)
+            if len(ids) <= _BOX:
+                cells.append(ids)
             else:
-                own = self.points[ids]
+                own = points[ids]
                 order = np.argsort(own[:, np.argmax(own.max(0) - own.min(0))], kind="stable")
                 todo += [ids[order[: len(ids) // 2]], ids[order[len(ids) // 2 :]]]
-        self.most = np.array([self.points[x].max(0) for x in self.leaves])
-        self.least_size = np.array([sizes[x].min() for x in self.leaves])
-        self.most_size = np.array([sizes[x].max() for x in self.leaves])
+        self.order = np.concatenate(cells)
+        #: from the points upwards: largest counts, least and largest size of each box
+        self.levels = [(points[self.order], sizes[self.order], sizes[self.order])]
+        while len(self.levels[-1][1]) > _BOX:
+            most, least, largest = self.levels[-1]
+            first = np.arange(0, len(least), _BOX)
+            self.levels.append((np.maximum.reduceat(most, first), np.minimum.reduceat(least, first), np.maximum.reduceat(largest, first)))
 
     def near(self, point: np.ndarray, n: int, percent: int) -> np.ndarray:
         """Points that may reach the threshold with a point (as counts) of n shingles."""
-        ok = (100 * self.most_size >= percent * n) & (percent * self.least_size <= 100 * n)
-        ok[ok] = np.minimum(self.most[ok], point).sum(1, dtype=np.int64) * (100 + percent) >= percent * (n + self.least_size[ok])
-        if not ok.any():
-            return np.zeros(0, np.int64)
-        ids = np.concatenate([self.leaves[k] for k in np.flatnonzero(ok)])
-        return ids[np.minimum(self.points[ids], point).sum(1, dtype=np.int64) * (100 + percent) >= percent * (n + self.sizes[ids])]
+        ids = np.arange(len(self.levels[-1][1]))
+        for depth, (most, least, largest) in reversed(list(enumerate(self.levels))):
+            ids = ids[(100 * largest[ids] >= percent * n) & (percent * least[ids] <= 100 * n)]
+            ids = ids[np.minimum(most[ids], point).sum(1, dtype=np.int64) * (100 + percent) >= percent * (n + least[ids])]
+            if depth:
+                ids = (ids[:, None] * _BOX + np.arange(_BOX)).ravel()
+                ids = ids[ids < len(self.levels[depth - 1][1])]
+        return self.order[ids]
 
 
 def links_of(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -198,15 +209,16 @@ def _forest(points: list[np.ndarray], sizes: np.ndarray, percent: int, linked=No
 
 
 def document_classes(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, class (null without words): one row for each row of docs."""
+    """doc_id, text_key (a hash of the text), n_shingles, class (null without words): one row for each
+    row of docs."""
 
     def classes(batches):
         for b in batches:
-            sets = (shingles(t, width) for t in b.column(1).cast(pa.binary()).to_pylist())
+            sets = (shingles(t, width) for t in b.column(2).cast(pa.binary()).to_pylist())
             rows = [(len(s), _class_id(s) if len(s) else None) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in rows], pa.int64()), pa.array([c for _, c in rows], pa.int64())], names=["doc_id", "n_shingles", "class"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([n for n, _ in rows], pa.int64()), pa.array([c for _, c in rows], pa.int64())], names=["doc_id", "text_key", "n_shingles", "class"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(classes), "doc_id long, n_shingles long, class long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(trimmed(classes), "doc_id long, text_key long, n_shingles long, class long")
 
 
 def _null_id_text() -> Column:
@@ -267,16 +279,60 @@ def _shared_keys(batches):
     yield from _batched(_shared(batches), ["key", "class"])
 
 
-def _stars(batches):
-    """Each shared key's first class with each of its others."""
-    key, cls = _shared(batches).T
+def _stars(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of (key, class) pairs: each key with its first class, and that class with each other of the key."""
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    key, cls = pairs.T
     head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
     first = np.repeat(cls[head], np.diff(np.r_[head, len(key)]))
-    yield from _batched(np.unique(np.stack([first, cls], 1)[first != cls], axis=0), ["a", "b"])
+    return pairs[head], np.unique(np.stack([first, cls], 1)[first != cls], axis=0)
+
+
+_LINKS = ["key", "a", "b"]
+
+
+def _linked(key, a, b=None):
+    """Rows (key, a, b); b is null for a class that stands for a key."""
+    for i in range(0, len(a), 100_000):
+        j = slice(i, i + 100_000)
+        none = pa.nulls(len(a[j]), pa.int64()) if b is None else pa.array(b[j])
+        yield pa.RecordBatch.from_arrays([pa.array(key[j]), pa.array(a[j]), none], names=_LINKS)
+
+
+def _combined_stars(batches):
+    """Before the shuffle: one class for each key that a task meets, so a key that very many classes
+    have is few rows, and links from that class to the others."""
+    held: list[np.ndarray] = []
+
+    def flush():
+        stars, links = _stars(np.concatenate(held))
+        held.clear()
+        yield from _linked(stars[:, 0], stars[:, 1])
+        yield from _linked(links[:, 0], links[:, 0], links[:, 1])
+
+    for b in batches:
+        n = np.diff(np.asarray(b.column(1).offsets))
+        held.append(np.stack([np.asarray(b.column(1).flatten()), np.repeat(np.asarray(b.column(0)), n)], 1))
+        if sum(map(len, held)) > _FLUSH:
+            yield from flush()
+    if held:
+        yield from flush()
+
+
+def _merged_stars(batches):
+    """After it: the classes that stand for a key linked with its first one."""
+    held = [np.zeros((0, 2), np.int64)]
+    for b in batches:
+        last = np.asarray(b.column(2).is_null())
+        key, a = np.asarray(b.column(0)), np.asarray(b.column(1))
+        held.append(np.stack([key[last], a[last]], 1))
+        if not last.all():
+            yield pa.RecordBatch.from_arrays([pa.array(a[~last]), b.column(2).drop_null()], names=["a", "b"])
+    yield from _batched(_stars(np.concatenate(held))[1], ["a", "b"])
 
 
 def _bounded_chains(percent: int):
-    """From rows sorted by key: forests of the pairs that the bound lets pass among a key's classes."""
+    """From rows sorted by task: forests of the pairs that the bound lets pass among a task's classes."""
 
     def chains(batches):
         last, held = None, []
@@ -287,34 +343,54 @@ def _bounded_chains(percent: int):
                 yield pa.RecordBatch.from_arrays([pa.array([rows[x[k]][0] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for b in batches:
-            for key, cls, size, point in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if key != last:
+            for task, cls, size, point in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if task != last:
                     yield from passed()
-                    last, held = key, []
+                    last, held = task, []
                 held.append((cls, size, point))
         yield from passed()
 
     return chains
 
 
-def class_links(docs: DataFrame, classes: DataFrame, width: int, percent: int, block: int = BLOCK) -> DataFrame:
+def _in_blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
+    """rows (a written table with group, class, size) with task: groups of more than block classes, or of
+    very large ones, are dealt in pairs of blocks, so each pair of a group's classes meets in a task."""
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum("size") / F.lit(BLOCK_SHINGLES))).cast("int")
+    rows = spread_join(rows, written(rows.groupBy(group).agg(blocks.alias("blocks")), "blocks"), group)
+    mine = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    others = F.when(F.col("blocks") > 1, F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("mine"))).otherwise(F.array(F.lit(0)))
+    dealt = rows.withColumn("mine", mine).withColumn("other", F.explode(others))
+    return dealt.withColumn("task", F.xxhash64(group, F.least("mine", "other"), F.greatest("mine", "other"))).drop("mine", "other", "blocks")
+
+
+def _shared_by_key(classes: DataFrame, hot_key: int) -> DataFrame:
+    """key, class: rows of the keys that several classes have."""
+    keyed = classes.select(F.explode("keys").alias("key"), "class")
+    most = max(hot_key, -(-classes.count() // MOST_HOT))
+    hot = None
+    if classes.count() > most:  # else no key can have so many
+        hot = written(keyed.groupBy("key").count().where(F.col("count") > most).select("key"), "hot-keys")
+        keyed, hot = keyed.join(F.broadcast(hot), "key", "left_anti"), keyed.join(F.broadcast(hot), "key", "left_semi")
+    shared = keyed.repartition("key").mapInArrow(trimmed(_shared_keys), "key long, class long").distinct()
+    return shared.unionByName(hot.distinct()) if hot is not None else shared
+
+
+def class_links(docs: DataFrame, classes: DataFrame, width: int, percent: int, block: int = BLOCK, hot_key: int = HOT_KEY) -> DataFrame:
     """(a, b): links between classes that connect whatever the join's links connect."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50, and 100 at most")
-    keyed = classes.select(F.explode("keys").alias("key"), "class").repartition("key")
     if percent >= GROUPS_FROM:
-        pairs = keyed.mapInArrow(trimmed(_stars), "a long, b long")
+        stars = classes.select("class", "keys").mapInArrow(trimmed(_combined_stars), "key long, a long, b long")
+        pairs = stars.repartition("key").mapInArrow(trimmed(_merged_stars), "a long, b long")
     else:
-        shared = keyed.mapInArrow(trimmed(_shared_keys), "key long, class long").distinct().join(classes.select("class", "size", "point"), "class")
-        pairs = shared.select("key", "class", "size", "point").repartition("key").sortWithinPartitions("key", "class").mapInArrow(trimmed(_bounded_chains(percent)), "a long, b long")
+        shared = written(_shared_by_key(classes, hot_key).join(classes.select("class", "size"), "class"), "shared")
+        dealt = _in_blocks(shared, "key", block).select("task", "class").join(classes.select("class", "size", "point"), "class")
+        pairs = dealt.select("task", "class", "size", "point").repartition("task").sortWithinPartitions("task", "class").mapInArrow(trimmed(_bounded_chains(percent)), "a long, b long")
     chained = connected_components(pairs)
     chained = chained.select("node", "root").union(chained.select(F.col("root").alias("node"), "root").distinct())
-    counts = chained.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    asked = chained.withColumnRenamed("node", "class").join(classes.select("class", "first_id", "null_text"), "class").join(counts, "root")
-    mine = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    others = F.when(F.col("blocks") > 1, F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("mine"))).otherwise(F.array(F.lit(0)))
-    asked = written(asked.withColumn("mine", mine).withColumn("other", F.explode(others)).select(
-        F.col("first_id").isNull().alias("no_id"), F.coalesce("first_id", "null_text").alias("row"), "class", F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("task")), "asked")
+    chained = written(chained.withColumnRenamed("node", "class").join(classes.select("class", "first_id", "null_text", "size"), "class"), "chained")
+    asked = written(_in_blocks(chained, "root", block).select(F.col("first_id").isNull().alias("no_id"), F.coalesce("first_id", "null_text").alias("row"), "class", "task"), "asked")
     doc_id = F.col("doc_id").cast("long")
     texts = docs.select(doc_id.isNull().alias("no_id"), F.coalesce(doc_id, _null_id_text()).alias("row"), "text")
     texts = texts.join(F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked, ["no_id", "row"])
@@ -339,37 +415,57 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int, percent: int, b
     return dealt.mapInArrow(trimmed(link), "a long, b long")
 
 
+def _components(docs: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, class, component_id, and whether the class is the one of its
+    component that has the smallest doc_id (first)."""
+    classes = written(_keyed_classes(docs, width, percent), "classes")
+    linked = connected_components(class_links(docs, classes, width, percent, block))
+    ids = classes.select("class", "first_id")
+    members = linked.union(linked.select(F.col("root"), F.col("root")).distinct()).withColumnRenamed("node", "class")
+    members = written(members.join(ids, "class"), "members")
+    least = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "class"))
+    smallest = written(members.groupBy("root").agg(least.alias("least")).select("root", F.col("least.first_id").alias("smallest"), F.col("least.class").alias("first_class")), "smallest")
+    moved = spread_join(members, smallest, "root").select("class", "smallest", "first_class")
+    first = F.coalesce(F.col("first_class") == F.col("class"), F.lit(True)).alias("first")
+    of = written(ids.join(moved, "class", "left").select("class", F.coalesce("smallest", "first_id").alias("component"), first), "of")
+    rows = written(document_classes(docs, width), "document-classes")
+    named = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    return spread_join(rows, of, "class", "left").select("doc_id", "text_key", "n_shingles", "class", named.alias("component_id"), "first")
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links): a row for each row.
 
     Sets link when 100 x intersection >= percent x union; equal sets always do. A text without words
     (null, empty, blank) has no shingles and its own doc_id. Rows with a null id take part; a component
-    of such rows alone has a null id.
+    of such rows alone has a null id. Rows that repeat an id are rows of their own.
     """
-    classes = written(_keyed_classes(docs, width, percent), "classes")
-    linked = connected_components(class_links(docs, classes, width, percent, block))
-    ids = classes.select("class", "first_id")
-    members = linked.union(linked.select(F.col("root"), F.col("root")).distinct()).withColumnRenamed("node", "class").join(ids, "class")
-    smallest = members.groupBy("root").agg(F.min("first_id").alias("smallest"))
-    moved = members.join(smallest, "root").select("class", "smallest")
-    of = ids.join(moved, "class", "left").select("class", F.coalesce("smallest", "first_id").alias("component"))
-    return document_classes(docs, width).join(of, "class", "left").select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    return _components(docs, width, percent, block).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """docs with one document of each component: the one whose doc_id names it, and one row of it.
+    """docs with one row of each component: one of those whose doc_id names it (null if no row of it has
+    an id).
 
-    Texts without words all stay, and so do rows with a null doc_id. Only the ids that go, or that
-    several rows have, are joined with the documents.
+    Rows count, not ids: of rows that share an id each stands for its own text. Texts without words all
+    stay. Only the rows that go, or that are there several times, are joined with the documents.
     """
-    found = written(jaccard_components(docs, width, percent, block), "components")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    several = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    marks = written(gone.withColumn("_go", F.lit(True)).unionByName(several.join(gone, "doc_id", "left_anti").withColumn("_go", F.lit(False))), "marks")
+    with temporary() as kept:
+        found = kept(written(_components(docs, width, percent, block).where("class is not null"), "components"))
+    own = F.col("first") & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    stays = found.where(own).groupBy("doc_id", "class").agg(F.count("*").alias("n"), F.min("text_key").alias("least"), F.max("text_key").alias("most"))
+    several = stays.where("n > 1")
+    other = several.where("least <> most").select("class", "least")
+    gone = found.where(~own).select("doc_id", "text_key")
+    gone = gone.unionByName(found.where(own).join(other, "class").where("text_key <> least").select("doc_id", "text_key")).distinct()
+    marks = gone.withColumn("_go", F.lit(True)).unionByName(several.select("doc_id", F.col("least").alias("text_key"), F.lit(False).alias("_go")))
+    marks = written(marks.withColumnsRenamed({"doc_id": "_id", "text_key": "_mark"}), "marks")
     small = marks.count() <= MOST_BROADCAST
 
     def keep(rows: DataFrame) -> DataFrame:
-        marked = rows.join(F.broadcast(marks) if small else marks, "doc_id", "left")
-        return marked.where("_go is null").drop("_go").unionByName(marked.where("not _go").drop("_go").dropDuplicates(["doc_id", "text"]))
+        rows = rows.withColumn("_text", F.xxhash64("text"))
+        same = (F.col("_text") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+        marked = rows.join(F.broadcast(marks) if small else marks, same, "left")
+        return marked.where("_go is null").unionByName(marked.where("not _go").dropDuplicates(["doc_id", "_text"])).drop("_text", "_id", "_mark", "_go")
 
     return around(docs, keep)

@@ -130,6 +130,7 @@ def pack(pieces: DataFrame, window: int = 4096, pieces_per_range: int = PIECES_P
     return ranked.select(*carry, "_rank").mapInArrow(trimmed(place), schema_with(pieces, carry, "sequence_id long, offset long"))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 4096) -> DataFrame:
-    """docs (doc_id, text) encoded, cut and packed; the pieces are written once to the shared folder."""
-    return pack(written(token_pieces(docs, tokenizer_path, end_id, window), "pieces"), window).drop("piece_id")
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 4096, with_ids: bool = False) -> DataFrame:
+    """docs (doc_id, text) encoded, cut and packed; the pieces are written once to the shared folder.
+    With with_ids each row has its piece's ids (see token_pieces), so a sequence is its rows by offset."""
+    return pack(written(token_pieces(docs, tokenizer_path, end_id, window, with_ids), "pieces"), window).drop("piece_id")

@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -62,7 +63,23 @@ def test_stages(spark, sf_dir):
 
     packed = stages["packing"](spark, mixed, sf_dir).collect()
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    assert sum(r.length for r in packed) == sum(len(library.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in mixed.collect())
+    want = sorted(tuple(library.encode(r.text or "", add_special_tokens=False).ids) + (2,) for r in mixed.collect())
+    sequences = {}
+    for r in sorted(packed, key=lambda r: (r.sequence_id, r.offset)):
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert len(ids) == r.length and len(sequences.setdefault(r.sequence_id, [])) == r.offset
+        sequences[r.sequence_id] += ids
+    short = [tuple(sequences[r.sequence_id][r.offset : r.offset + r.length]) for r in packed if r.doc_tokens == r.length]
+    assert sorted(short) == [w for w in want if len(w) <= 4096] and sum(r.length for r in packed) == sum(map(len, want))
+    assert library.decode(short[0][:-1]) == library.decode([i for i in short[0] if i != 2])
+
+
+def test_repeated_ids_with_other_texts(spark):
+    rows = [(3, "a text of one kind"), (5, "a text of one kind"), (5, "B b b"), (5, "b  B b"), (5, "b  B b"), (9, "and yet another"), (None, "a text of one kind"), (None, "z z"), (None, "z Z"), (None, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.keep_one_copy(spark, docs, "").collect()
+    got = sorted(((r.doc_id, (r.text or "").lower().replace("  ", " ")) for r in kept), key=repr)
+    assert got == sorted([(3, rows[0][1]), (5, "b b b"), (9, rows[5][1]), (None, "z z"), (None, ""), (7, "")], key=repr)
 
 
 def test_run(spark, sf_dir):
