@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockmill.llm import jaccard, mixing, packing, quality, toxicity
-from blockmill.llm.common import around, table, written
+from blockmill.llm.common import around, discard, table, temporary, written
 from blockmill.llm.queries import tokenizer_path
 
 TOXIC, GOOD = 0.3, 0.5
@@ -41,8 +41,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the mixed documents and their places in sequences."""
-    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    """The pieces of the mixed documents with their token ids and their places in sequences."""
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=2, with_ids=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("near_copies", keep_one_copy), ("mixing", mix), ("packing", pack)]
@@ -54,5 +54,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = docs
+        with temporary() as kept:  # a stage's own tables go with it
+            docs = kept(written(stage(spark, before, sf_dir), f"pipeline-{name}"))
+        if hasattr(before, "_written"):
+            discard(before)
     return docs
