@@ -129,6 +129,21 @@ def clear(state: DataFrame) -> DataFrame:
     return state.limit(0)
 
 
+def folded(spec: BlockSpec, batches: DataFrame) -> DataFrame:
+    """The state after batches of operations: rows in spec's columns with _op ('PUT', 'TOUCH', or what
+    removes a row: 'DELETE', 'EXPIRE', 'EVICT') and _seq, the batch's number. The last batch that puts or
+    removes a key settles its row; later touches of it (whose _access_ms tells when) count as use.
+    A key is one row in a batch. All is partial aggregates, so no key's rows meet unmerged.
+    """
+    keys = list(spec.keys)
+    use = F.col("_op") == "TOUCH"
+    last = batches.where(~use).groupBy(*keys).agg(F.max_by(F.struct("_op", "_seq", *spec.columns), "_seq").alias("r"))
+    state = last.where("r._op = 'PUT'").select("r.*")
+    used = batches.where(use).select(*keys, "_seq", F.col("_access_ms").alias("access_ms"))
+    since = used.join(state.select(*keys, F.col("_seq").alias("_put")), keys).where("_seq > _put").select(*keys, "access_ms")
+    return touched(spec, state.select(*spec.columns), since)
+
+
 def touched(spec: BlockSpec, state: DataFrame, accesses: DataFrame) -> DataFrame:
     """state after reads: accesses (keys, access_ms) count as hits, the latest sets _access_ms."""
     used = accesses.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("_n"), F.max("access_ms").alias("_at"))

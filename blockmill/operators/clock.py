@@ -5,7 +5,6 @@ from __future__ import annotations
 import struct
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,19 +71,19 @@ def stamp_local(rows: DataFrame, wall: str, order: list[str], node: list[str]) -
 def stamp_with_remote(rows: DataFrame, wall: str, order: list[str], node: str, remote_logical: str, remote_counter: str) -> DataFrame:
     """rows with logical and counter, where a row with a remote stamp hears it (null: a local event).
 
-    The counter rule goes from event to event, so each node's events are one sequence in one task.
+    The logical time is the largest wall or remote time so far. In a run of events that share it, an
+    event's counter is one more than that before it, or than the remote one of that time if this is
+    larger: at place i of the run, i and the largest so far of (what the event starts from - i).
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-
-    def follow(events: pd.DataFrame) -> pd.DataFrame:
-        events = events.sort_values(order, kind="stable")
-        clock, stamps = Stamp(0, 0), []
-        for w, lo, c in zip(events[wall], events[remote_logical], events[remote_counter], strict=True):
-            clock = tick(clock, int(w)) if pd.isna(lo) else merge_remote(clock, Stamp(int(lo), int(c)), int(w))
-            stamps.append((clock.logical, clock.counter))
-        return events.assign(logical=[s[0] for s in stamps], counter=[s[1] for s in stamps])
-
-    return rows.groupBy(node).applyInPandas(follow, f"{schema}, logical bigint, counter bigint")
+    seen = W.partitionBy(node).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    run, so_far = W.partitionBy(node, "logical").orderBy(*order), W.partitionBy(node, "logical").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    zero = F.lit(0).cast("bigint")
+    rows = rows.withColumn("logical", F.max(F.greatest(F.col(wall), F.col(remote_logical), zero)).over(seen))
+    rows = rows.withColumn("_place", F.row_number().over(run).cast("bigint") - 1)
+    # a clock starts at (0, 0), which an event at time 0 goes on from
+    first = F.when(F.col("_place") == 0, F.when(F.col("logical") == 0, F.lit(1)).otherwise(0))
+    base = F.greatest(first, F.when(F.col(remote_logical) == F.col("logical"), F.col(remote_counter) + 1))
+    return rows.withColumn("counter", (F.col("_place") + F.max(base - F.col("_place")).over(so_far)).cast("bigint")).drop("_place")
 
 
 def drift(rows: DataFrame, wall: str, logical: str, remote_logical: str, alert_ms: int = DRIFT_ALERT_MS) -> DataFrame:

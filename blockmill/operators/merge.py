@@ -6,8 +6,11 @@ origin _origin_hi and _origin_lo, and _arrival, its place in the log.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from blockmill.operators.blocks import Consistency, expired
@@ -37,21 +40,16 @@ def lww_merge(log: DataFrame, keys: list[str], order: Column | None = None) -> D
 
 def arrival_merge(log: DataFrame, keys: list[str]) -> DataFrame:
     """The state that the log leaves when applied as it arrives, where a delete leaves no trace: a put
-    that arrives after a later delete brings its key back. A key's rows are one task's."""
-
-    def apply(rows: pd.DataFrame) -> pd.DataFrame:
-        held = None
-        for i in rows.sort_values("_arrival", kind="stable").index:
-            r = rows.loc[i]
-            stamp = (r["_hlc_logical"], r["_hlc_counter"])
-            if r["op"] == "DELETE":
-                held = held if held is not None and held[0][:2] > stamp else None
-            else:
-                rank = (*stamp, *(0 if pd.isna(r[c]) else int(r[c]) for c in ("_origin_hi", "_origin_lo")))
-                held = (rank, i) if held is None or rank > held[0] else held
-        return rows.loc[[held[1]]] if held else rows.iloc[:0]
+    that arrives after a later delete brings its key back.
 
-    return log.groupBy(*keys).applyInPandas(apply, log.schema)
+    A put is gone if a delete of its stamp or a later one arrives after it; of the puts that are left
+    the largest stays, by stamp, origin and earlier arrival.
+    """
+    stamp = F.struct("_hlc_logical", "_hlc_counter")
+    after = W.partitionBy(*keys).orderBy(F.col("_arrival").desc()).rowsBetween(W.unboundedPreceding, -1)
+    left = log.withColumn("_gone", F.max(F.when(F.col("op") == "DELETE", stamp)).over(after))
+    left = left.where((F.col("op") == "PUT") & (F.col("_gone").isNull() | (stamp > F.col("_gone")))).drop("_gone")
+    return winners(left, keys)
 
 
 def bootstrap(snapshot: DataFrame, delta: DataFrame, keys: list[str], now_ms: int, known_blocks: list[str] | None = None) -> DataFrame:
@@ -64,14 +62,33 @@ def bootstrap(snapshot: DataFrame, delta: DataFrame, keys: list[str], now_ms: in
     return lww_merge(log, keys)
 
 
-def sync_result(snapshot: DataFrame, chunk_bytes: int, size: Column) -> DataFrame:
-    """One row: total_entries of all blocks, known or not, and the chunks of at most chunk_bytes that
-    hold them at least."""
-    return snapshot.agg(F.count(F.lit(1)).alias("total_entries"), F.ceil(F.coalesce(F.sum(size), F.lit(0)) / F.lit(chunk_bytes)).cast("bigint").alias("chunks"))
+def sync_result(snapshot: DataFrame, chunk_bytes: int, size: Column, head_bytes: int = 0) -> DataFrame:
+    """One row: total_entries of all blocks, known or not, and chunks: how many chunks hold them.
+
+    A chunk starts with head_bytes and takes entries as long as it stays within chunk_bytes; an entry
+    that is larger is a chunk of its own. Each partition of snapshot is sent by itself, so it fills its
+    own chunks in its own order.
+    """
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunks, held, n = 0, chunk_bytes, 0
+        for batch in batches:
+            for entry in batch["size"].tolist():
+                if not n or held + entry > chunk_bytes:
+                    chunks, held = chunks + 1, head_bytes
+                held, n = held + entry, n + 1
+        yield pd.DataFrame({"n": [n], "chunks": [chunks]})
+
+    sizes = snapshot.select(F.coalesce(size.cast("bigint"), F.lit(0)).alias("size"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return sizes.mapInPandas(fill, "n bigint, chunks bigint").agg(total("n").alias("total_entries"), total("chunks").alias("chunks"))
 
 
-def required_acks(consistency: Consistency, alive_peers: int) -> int:
+def required_acks(consistency: Consistency, alive_peers: int | Column) -> int | Column:
     """Acknowledgements a write waits for; 0 is fire and forget."""
+    if isinstance(alive_peers, Column):
+        need = {Consistency.EVENTUAL: F.lit(0), Consistency.QUORUM: F.floor((alive_peers + 1) / 2), Consistency.STRONG: alive_peers}[consistency]
+        return F.greatest(need.cast("bigint"), F.lit(0).cast("bigint"))
     need = {Consistency.EVENTUAL: 0, Consistency.QUORUM: (alive_peers + 1) // 2, Consistency.STRONG: alive_peers}[consistency]
     return max(need, 0)
 

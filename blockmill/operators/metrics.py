@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def hit_rate(accesses: DataFrame, by: list[str], baseline: tuple[int, int] = (0, 0)) -> DataFrame:
-    """hits, misses and hit_rate (percent) since a baseline of hits and misses. accesses: hit boolean."""
-    used = accesses.groupBy(*by).agg((F.count_if("hit") - baseline[0]).alias("hits"), (F.count_if(~F.col("hit")) - baseline[1]).alias("misses"))
+def hit_rate(accesses: DataFrame, by: list[str], baseline: DataFrame | None = None) -> DataFrame:
+    """hits, misses and hit_rate (percent) since a baseline: each block's hits and misses at some time
+    (columns by, hits, misses; a block that it doesn't name starts at 0). accesses: hit boolean."""
+    used = accesses.groupBy(*by).agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    if baseline is not None:
+        used = used.join(baseline.select(*by, F.col("hits").alias("_hits"), F.col("misses").alias("_misses")), by, "left")
+        used = used.select(*by, *[(F.col(c) - F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in ("hits", "misses")])
     total = F.col("hits") + F.col("misses")
     return used.withColumn("hit_rate", F.when(total > 0, F.col("hits") * 100.0 / total).otherwise(0.0))
 

@@ -63,14 +63,17 @@ class JoinQuery:
         if self.predicate:
             left = left.where(self.predicate.on(left))
         right = self.right()
+        key = "_key"
+        while key in left.columns or key in right.columns:
+            key += "_"
         if self.keys:
-            left, right = left.withColumn("_key", column(left, self.keys[0])), right.withColumn("_key", column(right, self.keys[1]))
+            left, right = left.withColumn(key, column(left, self.keys[0])), right.withColumn(key, column(right, self.keys[1]))
         left, right = left.alias("l"), right.alias("r")
-        on = F.col("l._key") == F.col("r._key") if self.keys else self._pair(self.condition, left, right)
+        on = F.col(f"l.{key}") == F.col(f"r.{key}") if self.keys else self._pair(self.condition, left, right)
         joined = left.join(right, on, self.how)
         if self.output:
             return joined.select(*[self._pair(o, left, right) for o in self.output])
-        return joined.drop("_key")
+        return joined.drop(key)
 
     @staticmethod
     def _pair(e: Pair | str | Column, left: DataFrame, right: DataFrame) -> Column:

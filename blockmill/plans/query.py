@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from blockmill.functions.aggregators import NAN, least
 from blockmill.functions.exprs import Expression, column, no_null
 from blockmill.functions.predicates import Predicate
+from blockmill.plans.selection import keep_smallest, skip_smallest
 
 #: Rows from which a hint to work in parallel pays in a local engine; Spark needs no hint.
 DEFAULT_PARALLEL_THRESHOLD = 50_000
@@ -105,12 +106,33 @@ class BlockQuery:
         return self._paged(df)
 
     def _paged(self, df: DataFrame) -> DataFrame:
+        if self.skipped and self.most is None and (skipped := self._skipped(self.matching_df())) is not None:
+            return skipped
         df = df.offset(self.skipped) if self.skipped else df
         return df if self.most is None else df.limit(self.most)
 
+    def _skipped(self, df: DataFrame) -> DataFrame | None:
+        """df from the page's start on, where no limit follows: a filter on the key of the last row that
+        is skipped, as an offset alone would take all rows through one task. Finding that key runs at
+        once. None for rows that can't be told apart by a hash (maps)."""
+        if any("map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() for f in df.schema):
+            return None
+        own = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("own")
+        if not self.ordering:
+            return skip_smallest(df, F.struct(own), self.skipped)
+        field, order, nulls = self.ordering
+        value = column(df, field)
+        last = (nulls is NullOrdering.NULLS_FIRST) == (order is Order.DESC)
+        key = F.struct((value.isNull() == F.lit(last if order is Order.ASC else not last)).alias("after"), value.alias("value"), own)
+        if order is Order.ASC:
+            return (rows := skip_smallest(df, key, self.skipped)).orderBy(self._order(rows))
+        rows = keep_smallest(df, key, max(df.count() - self.skipped, 0))
+        return rows.orderBy(self._order(rows))
+
     def count_df(self) -> DataFrame:
-        """One row, count: the rows of the page. Order doesn't matter to it, so nothing is sorted."""
-        return self._paged(self.matching_df()).agg(F.count(F.lit(1)).alias("count"))
+        """One row, count: the rows of the page. Order doesn't matter to it, and the page is arithmetic."""
+        left = F.greatest(F.count(F.lit(1)) - self.skipped, F.lit(0).cast("bigint"))
+        return self.matching_df().agg((left if self.most is None else F.least(left, F.lit(self.most).cast("bigint"))).alias("count"))
 
     def count_matching_df(self) -> DataFrame:
         """One row, count, whatever the page."""

@@ -1,6 +1,6 @@
 """Change feeds: what happened to a block's keys, as a batch or a stream.
 
-Events have op ('PUT', 'DELETE', 'EXPIRE'), key columns, new_value, old_value, source.
+Events have op ('PUT', 'DELETE', 'EXPIRE', 'EVICT'), key columns, new_value, old_value, source.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -87,6 +88,7 @@ class Watch:
     stream: DataFrame
     registry: "WatchRegistry"
     conditions: tuple = ()
+    tests: tuple = ()
     handlers: tuple = ()
     single: bool = False
     waits: bool = False
@@ -95,6 +97,14 @@ class Watch:
     def filter(self, condition: Expression) -> "Watch":
         return replace(self, conditions=(*self.conditions, condition))
 
+    def filter_rows(self, test: Callable[[dict], bool], *columns: str) -> "Watch":
+        """A filter in Python over some columns of an event, for what no expression says. An event whose
+        filter fails is left out and counted (WatchHandle.skipped); expressions that may fail have their
+        try_ forms instead."""
+        if test is None or not columns:
+            raise ValueError("a filter needs a function and columns")
+        return replace(self, tests=(*self.tests, (test, columns)))
+
     def _on(self, ops: tuple[str, ...], handler: Callable[[DataFrame], None]) -> "Watch":
         if handler is None:
             raise ValueError("a handler is missing")
@@ -111,7 +121,10 @@ class Watch:
 
     def on_event(self, handler) -> "Watch":
         """All events, besides the handlers of one kind."""
-        return self._on(("PUT", "DELETE", "EXPIRE"), handler)
+        return self._on(("PUT", "DELETE", "EXPIRE", "EVICT"), handler)
+
+    def on_evict(self, handler) -> "Watch":
+        return self._on(("EVICT",), handler)
 
     def on_lag(self, threshold_ms: int, now: Expression, source: str, handler) -> "Watch":
         """Events that are at least threshold_ms behind."""
@@ -120,7 +133,8 @@ class Watch:
         return replace(self, lag=(threshold_ms, now, source, handler))
 
     def once(self) -> "Watch":
-        """End after the first micro-batch that hands something on, which is cut to one event."""
+        """End after the first micro-batch that hands something on, which is cut to one event, whenever
+        that comes."""
         return replace(self, single=True)
 
     def sync(self) -> "Watch":
@@ -134,6 +148,9 @@ class Watch:
         events = self.stream
         for c in self.conditions:
             events = events.where(holds(column(events, c)))
+        for k, (test, columns) in enumerate(self.tests):
+            events = events.withColumn(f"_test{k}", _passes(test, columns)(F.struct(*columns)))
+        tested = [f"_test{k}" for k in range(len(self.tests))]
         wanted = tuple({op for ops, _ in self.handlers for op in ops})
         box: list[WatchHandle] = []
         lock, spent = threading.Lock(), [False]
@@ -144,8 +161,12 @@ class Watch:
             with lock:
                 if spent[0]:
                     return
-                batch = batch.persist()
+                batch = given = batch.persist()
                 try:
+                    if tested:
+                        passed = [F.col(t) for t in tested]
+                        box[0].skipped += batch.where(F.exists(F.array(*passed), lambda p: p.isNull())).count()
+                        batch = batch.where(F.forall(F.array(*passed), lambda p: F.coalesce(p, F.lit(False)))).drop(*tested)
                     mine = batch.where(F.col("op").isin(*wanted)) if wanted else batch.limit(0)
                     mine = mine.limit(1) if self.single else mine
                     count = mine.count()
@@ -161,7 +182,9 @@ class Watch:
                             handler(late)
                     spent[0] = self.single and count > 0
                 finally:
-                    batch.unpersist()
+                    given.unpersist()
+                if spent[0]:  # from another thread, as the query waits for this one
+                    threading.Thread(target=box[0].cancel, daemon=True).start()
 
         writer = events.writeStream.foreachBatch(hand_on).option("checkpointLocation", checkpoint)
         handle = WatchHandle(writer.trigger(**options).start() if options else writer.start())
@@ -169,12 +192,32 @@ class Watch:
         begun.set()
         self.registry._handles.append(handle)
         if self.waits or self.single:
-            handle.process()
-        if self.single and spent[0]:
-            handle.cancel()
+            try:
+                handle.process()
+            except Exception:
+                if not spent[0]:  # else it ended as it should
+                    raise
+        if spent[0]:
+            handle.await_done(60)
         return handle
 
 
+def _passes(test: Callable[[dict], bool], columns: tuple[str, ...]):
+    """test over Arrow batches: true, false, or null where it fails."""
+
+    @F.pandas_udf("boolean")
+    def run(rows: pd.DataFrame) -> pd.Series:
+        out = []
+        for values in zip(*(rows[c].tolist() for c in columns), strict=True):
+            try:
+                out.append(bool(test(dict(zip(columns, values, strict=True)))))
+            except Exception:
+                out.append(None)
+        return pd.Series(out, dtype="object")
+
+    return run
+
+
 class WatchRegistry:
     """Subscriptions to one event stream."""
 

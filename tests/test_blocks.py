@@ -148,6 +148,8 @@ def test_metrics(spark):
     a = spark.createDataFrame([("x", True), ("x", False), ("x", True), ("x", True)], "block string, hit boolean")
     hits = metrics.hit_rate(a, ["block"])
     assert hits.first().hit_rate == 75.0
+    since = metrics.hit_rate(a.union(spark.createDataFrame([("y", False), ("y", True)], a.schema)), ["block"], hits.select("block", F.lit(2).alias("hits"), F.lit(1).alias("misses")))
+    assert {r.block: (r.hits, r.misses, r.hit_rate) for r in since.collect()} == {"x": (1, 0, 100.0), "y": (1, 1, 50.0)}
     lag = metrics.replication_lag(spark.createDataFrame([(10, 3), (5, 9), (8, 0)], "now long, src long"), "now", "src")
     assert tuple(lag.first()) == (3, 5, 8)
     none = metrics.replication_lag(spark.createDataFrame([], "now long, src long"), "now", "src").first()
@@ -238,6 +240,91 @@ def test_cache(spark, tmp_path):
     assert caches.size() == 1 and caches.shutdown_and_remove("one") and caches.size() == 0 and caches.get("one") is None
 
 
+def test_reads_are_use_and_evictions_are_events(spark, tmp_path):
+    now = [1]
+    schema = T.StructType().add("k", "string").add("v", "string")
+    frame = lambda *rows: spark.createDataFrame(rows, schema)
+    with BlockCache(spark, f"file://{tmp_path}/c", clock_ms=lambda: now[0], compact_after=4) as c:
+        for policy in (Eviction.LFU, Eviction.LRU):
+            name = policy.value
+            c.register_block(BlockSpec(name, ("k",), ("v",), eviction=policy, max_entries=2), schema)
+            gone = []
+            handle = c.watch_registry(name).watch().on_evict(lambda df, gone=gone: gone.extend(r.k for r in df.collect())).start(f"{tmp_path}/cp-{name}")
+            c.put_all(name, frame(("y", "1"), ("z", "2")))
+            for _ in range(3):
+                now[0] += 1
+                assert c.get(name, frame(("z", None), ("none", None))).first().v == "2"
+            now[0] += 1
+            before = c.state(name)
+            c.put_all(name, frame(("m", "3")))
+            state = {r.k: (r._hits, r._access_ms) for r in c.state(name).collect()}
+            assert state["z"] == (3, now[0] - 1) and before.count() == 2
+            kept = {"z", "y"} if policy is Eviction.LFU and "y" in state else {"z", "m"}
+            assert set(state) == kept and len(state) == 2
+            handle.process()
+            assert gone == sorted({"y", "m"} - kept)
+            handle.cancel()
+            assert len(c._batches[name]) <= 5
+            c.compact(name)
+            c.vacuum(name)
+            assert {r.k: (r._hits, r._access_ms) for r in c.state(name).collect()} == state and c._past[name] == []
+        assert set(c.config["blocks"]) == {"lfu", "lru"} and c.config["node"] == c.node
+        c.report(spark.createDataFrame([("p", "ALIVE", 1), ("p", "DEAD", 1), (str(c.node), "SUSPECTED", 0)], "node string, state string, incarnation int"))
+        assert {r.node: r.state for r in c.cluster().collect()} == {"p": "DEAD", str(c.node): "SUSPECTED"}
+
+
+def test_folded_batches(spark):
+    spec, rng = BlockSpec("b", ("k",), ("v",)), random.Random(8)
+    rows, state = [], {}
+    for seq in range(25):
+        op = rng.choice(["PUT", "PUT", "TOUCH", "DELETE", "EVICT"])
+        for k in rng.sample(range(6), 3):
+            rows.append((k, f"{seq}", 0, 0, 0, 100 + seq if op == "TOUCH" else seq, 0, 0, 0, op, seq))
+            if op == "PUT":
+                state[k] = [f"{seq}", 0, seq]
+            elif op == "TOUCH":
+                if k in state:
+                    state[k][1:] = [state[k][1] + 1, max(100 + seq, state[k][2])]
+            else:
+                state.pop(k, None)
+    df = spark.createDataFrame(rows, "k int, v string, " + ", ".join(f"{c} long" for c in blocks.SYSTEM) + ", _op string, _seq long")
+    assert {r.k: [r.v, r._hits, r._access_ms] for r in blocks.folded(spec, df).collect()} == state
+
+
+def test_watch_ends_after_its_one_event_and_counts_failing_filters(spark, tmp_path):
+    schema = "op string, k string, n int"
+    write = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+    write()
+    registry = changes.WatchRegistry(spark.readStream.schema(schema).parquet(f"{tmp_path}/log"))
+    seen, tested = [], []
+    once = registry.watch().on_put(lambda df: seen.extend(r.k for r in df.collect())).once().start(f"{tmp_path}/cp1")
+    assert once.is_active and not seen
+    some = registry.watch().filter("n is not null").filter_rows(lambda e: 10 // e["n"] > 2, "n", "k").on_event(lambda df: tested.extend(r.k for r in df.collect())).start(f"{tmp_path}/cp2")
+    write(("PUT", "a", 1), ("DELETE", "b", 0), ("PUT", "c", 5), ("PUT", "d", 0), ("PUT", "e", None))
+    assert once.await_done(60) and not once.is_active and len(seen) == 1 == once.received
+    some.process()
+    assert tested == ["a"] and (some.received, some.skipped) == (1, 2) and some.is_active
+    some.cancel()
+    with pytest.raises(ValueError):
+        registry.watch().filter_rows(None, "n")
+
+
+def test_sync_chunks(spark):
+    sizes = [4, 3, 3, 9, 20, 1, 0, 8, 2]
+    def greedy(sizes, most, head):
+        chunks = []
+        for n in sizes:
+            if chunks and head + sum(chunks[-1]) + n <= most:
+                chunks[-1].append(n)
+            else:
+                chunks.append([n])
+        return len(chunks)
+    df = spark.createDataFrame([(n,) for n in sizes], "n int").coalesce(1)
+    for head in (0, 2):
+        assert tuple(merge.sync_result(df, 10, F.col("n"), head).first()) == (9, greedy(sizes, 10, head))
+    assert tuple(merge.sync_result(df.limit(0), 10, F.col("n")).first()) == (0, 0)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = random_log(5, 300, 20)
     df = spark.createDataFrame(rows, LOG)
