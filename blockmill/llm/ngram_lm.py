@@ -28,6 +28,8 @@ from blockmill.llm.common import discard, new_path, schema_with, sub_batches, tr
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\nend", b"\nstart"))  # no word holds white space
 _FLUSH = 3_000_000
+#: Tokens of a part, by which a model's parts grow with its texts; bytes of a token to tell their number by.
+PART_TOKENS, TOKEN_BYTES = 2_000_000, 6
 _BLOCKS = "kind int, part int, block binary"
 
 
@@ -141,7 +143,8 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 class NgramModel:
     """folder holds, for each order n and part p, raw files of keys and values: n-p has n-grams' counts and,
     below the highest order, their figures as contexts of order n + 1, up to 255; n-big-p and cn-big-p
-    have those above 254, c2-p has single words as contexts, 1-p words."""
+    have those above 254, c2-p has single words as contexts, 1-p words. Every part has all its files,
+    empty ones too: a file that isn't there fails the scoring."""
 
     folder: str
     order: int
@@ -175,10 +178,21 @@ def _save(folder: str, name: str, *arrays: np.ndarray) -> None:
     os.replace(mine, path)
 
 
+def _save_nothing(folder: str, order: int, part: int) -> None:
+    """Empty files of a part that no n-gram fell into; files that are there stay."""
+    none = {"1": (np.uint64, np.uint64, np.uint32), "c2": (np.uint64, *[np.uint8] * 4)}
+    for n in range(2, order + 1):
+        none[f"{n}"] = (np.uint64, *[np.uint8] * (1 if n == order else 5))
+        none |= {f"{n}-big": (np.uint64, np.uint64), f"c{n}-big": (np.uint64, *[np.uint64] * 4)}
+    for name, kinds in none.items():
+        if not os.path.exists(f"{_local(folder)}/{name}-{part}"):
+            _save(folder, f"{name}-{part}", *[np.zeros(0, k) for k in kinds])
+
+
 def _load(folder: str, name: str, *kinds: type) -> list[np.ndarray]:
     path, at = f"{_local(folder)}/{name}", 8
     if not os.path.exists(path):
-        return [np.zeros(0, k) for k in kinds]
+        raise FileNotFoundError(f"{path}: a part of the model isn't there; executors must mount the folder in spark.checkpoint.dir")
     n, out = int(np.fromfile(path, np.int64, 1)[0]), []
     for k in kinds:
         out.append(np.memmap(path, k, "r", at, (n,)) if n else np.zeros(0, k))
@@ -241,13 +255,16 @@ def _merge(folder: str, order: int, parts: int, most: int):
 def fit_ngrams(docs: DataFrame, order: int = 2, parts: int | None = None) -> NgramModel:
     """A model of the texts (column text; null is empty) of docs. order is 2 at least.
 
-    parts, by default the session's shuffle partitions, should leave a part of some millions of
-    distinct n-grams. An empty table gives a model in which every token is unknown.
+    parts grow by default with the bytes of the texts, about PART_TOKENS tokens each, whatever the
+    number of shuffle partitions. Null ids and repeated rows don't matter: each row's text counts as
+    often as it stands there. An empty table gives a model in which every token is unknown.
     """
     spark = docs.sparkSession
     if order < 2:
         raise ValueError("order must be 2 at least")
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = -(-size // (TOKEN_BYTES * PART_TOKENS)) or 1
     model = NgramModel(new_path(spark, "ngrams"), order, parts)
 
     def count(batches):
@@ -283,6 +300,7 @@ def fit_ngrams(docs: DataFrame, order: int = 2, parts: int | None = None) -> Ngr
         stats[n] = sum((np.frombuffer(r["block"], np.int64) for r in found), np.zeros(8 if n == 1 else 4, np.int64))
         rows = rows.where("kind >= 0")
     discard(before)
+    spark.range(parts, numPartitions=min(parts, 64)).foreachPartition(_nothing_left_out(model.folder, order))
     for n, s in stats.items():
         n1, n2, n3, n4 = (float(x) for x in s[:4])
         y = n1 / (n1 + 2 * n2) if n1 else 0.5
@@ -293,6 +311,14 @@ def fit_ngrams(docs: DataFrame, order: int = 2, parts: int | None = None) -> Ngr
     return model
 
 
+def _nothing_left_out(folder: str, order: int):
+    def complete(rows) -> None:
+        for r in rows:
+            _save_nothing(folder, order, r["id"])
+
+    return complete
+
+
 _open: dict[str, dict] = {}
 
 
@@ -354,7 +380,7 @@ def score_ngrams(docs: DataFrame, model: NgramModel) -> DataFrame:
     """docs with n_tokens, n_known, base_score (add-one unigrams), score and perplexity.
 
     Null texts are empty: one end token. Columns of docs with these names are replaced, text is left
-    out, and every row gives one row.
+    out, and every row gives one row, rows with a null or repeated id too.
     """
     new = ("n_tokens", "n_known", "base_score", "score", "perplexity")
     carry = [c for c in docs.columns if c not in (*new, "text")]

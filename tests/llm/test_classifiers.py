@@ -83,6 +83,96 @@ def test_quality(spark, data):
     assert {r.n_passages for r in rows if r.doc_id in (2, 3, 4)} == {1}
 
 
+def test_toxicity_query_equals_plain_python(spark, data, tmp_path):
+    """The registered query against sentences, logistic scores and noisy-or written out."""
+    import math
+    import re
+    import zlib
+
+    from blockmill.llm import queries
+
+    docs, labels = data
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    model = toxicity.fit_toxicity(docs, labels)
+
+    def plain(text):
+        clean, n = 1 - model.leak, 0
+        for sentence in re.split(r"(?<=[.!?])(?![.!?])|\n", text or ""):
+            held = {w for w in re.findall(r"[^\W\d_]+", sentence.lower()) if w in model.terms}
+            if held:
+                p = 1 / (1 + math.exp(-(model.bias + sum(model.weights[model.terms[w]] for w in held))))
+                clean, n = clean * (1 - p), n + (p >= 0.5)
+        return 1 - clean, n
+
+    rows = sorted(queries.op6_noisy_or_toxicity(spark, str(tmp_path)).collect(), key=lambda r: (r.doc_id or 0, r.score))
+    want = sorted(((r.doc_id or 0, *plain(r.text)) for r in docs.collect()))
+    assert [r.score for r in rows] == pytest.approx([s for _, s, _ in want], abs=1e-9)
+    assert [(r.doc_id or 0, r.n_offending, r.predicted) for r in rows] == [(d, n, int(s >= 0.3)) for d, s, n in want]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows if r.doc_id is not None)
+
+
+def test_quality_query_equals_plain_python(spark, data, tmp_path):
+    """The registered query against passages, features, attention and score written out."""
+    import math
+
+    from blockmill.llm import queries
+
+    docs, labels = data
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    model = quality.fit_quality(docs, labels)
+    p = {k: v.tolist() for k, v in model.params.items()}
+    kinds = quality.CLASSES.tolist()
+    dot = lambda v, m, k: sum(a * row[k] for a, row in zip(v, m))
+    sigmoid = lambda x: 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+
+    def features(raw, words, more):
+        pairs = [0] * 144
+        for a, b in zip(raw, raw[1:]):
+            pairs[kinds[a] * 12 + kinds[b]] += 1
+        total = max(sum(pairs), 1)
+        tail = [sum(a == b for a, b in zip(words, words[1:])) / len(words), len(set(words)) / len(words), sum(map(len, words)) / len(words) / 10, math.log1p(len(words)) / 5]
+        return [math.sqrt(n / total) for n in pairs] + tail
+
+    def plain(text):
+        raw = (text or "").encode().strip()
+        words = raw.split()
+        if not words:
+            bags = [[0.0] * 148]
+        else:
+            bags, at, starts = [], 0, []
+            for w in words:
+                at = raw.index(w, at)
+                starts.append(at)
+                at += len(w)
+            for k in range(0, len(words), 64):
+                # a passage's pairs start inside it; the last one of each reaches the next passage's first byte
+                end = starts[k + 64] + 1 if k + 64 < len(words) else len(raw)
+                bags.append(features(raw[starts[k] : end], words[k : k + 64], None))
+        hs, es = [], []
+        for x in bags:
+            x = [max(-6.0, min(6.0, (np.float32(a) - m) / s)) for a, m, s in zip(x, model.mean, model.scale)]
+            h = [math.tanh(dot(x, p["W"], k) + p["b"][k]) for k in range(16)]
+            gate = [math.tanh(dot(h, p["V"], k)) * sigmoid(dot(h, p["U"], k)) for k in range(8)]
+            hs.append(h)
+            es.append(math.exp(max(-20.0, min(20.0, sum(g * s for g, s in zip(gate, p["s"]))))))
+        z = [sum(e / sum(es) * h[k] for e, h in zip(es, hs)) for k in range(16)]
+        return sigmoid(sum(a * b for a, b in zip(z, p["c"])) + p["d"][0]), len(bags)
+
+    some = [r for r in docs.collect() if r.doc_id is not None and (r.doc_id < 10 or r.doc_id % 5 == 0)]
+    rows = {r.doc_id: r for r in queries.op3_attention_quality(spark, str(tmp_path)).collect()}
+    for r in some:
+        score, n = plain(r.text)
+        assert rows[r.doc_id].score == pytest.approx(score, abs=1e-4) and rows[r.doc_id].n_passages == n
+
+
+def test_a_bounded_number_of_passages_teaches(spark, data, monkeypatch):
+    docs, labels = data
+    model = quality.fit_quality(docs, labels, most_passages=1, epochs=2)
+    assert all(0 <= r.score <= 1 for r in quality.score_quality(docs, model).collect())
+
+
 def test_gradient_of_attention():
     rng = np.random.default_rng(0)
     x, bag, y = rng.normal(0, 1, (9, 5)), np.array([0, 0, 1, 1, 1, 2, 3, 3, 3]), np.array([1.0, 0.0, 1.0, 0.0])

@@ -68,6 +68,37 @@ def test_equals_brute_force(spark, order):
         assert got[i].score == pytest.approx(score, abs=1e-9), i
 
 
+def test_a_missing_part_fails(spark):
+    import os
+
+    df = spark.createDataFrame([(*t, "clash") for t in TEXTS], SCHEMA)
+    model = ngram_lm.fit_ngrams(df, order=3, parts=40)  # most parts are empty
+    assert ngram_lm.score_ngrams(df, model).count() == len(TEXTS)
+    folder = ngram_lm._local(model.folder)
+    names = {n.rsplit("-", 1)[0] for n in os.listdir(folder)}
+    assert all(os.path.exists(f"{folder}/{n}-{p}") for n in names for p in range(40))
+    for p in range(40):
+        os.remove(f"{folder}/2-{p}")
+    ngram_lm._open.clear()
+    with pytest.raises(Exception, match="a part of the model isn't there"):
+        ngram_lm.score_ngrams(df, ngram_lm.NgramModel(model.folder + "/.", 3, 40, model.train_tokens, model.distinct, model.discounts, model.total, model.spared)).collect()
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "a b c"), (None, "a b c"), (1, "a b"), (1, "a c"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.score) for r in ngram_lm.score_ngrams(df, ngram_lm.fit_ngrams(df, order=3, parts=2)).collect())
+    want = brute([t for _, t in rows], list(enumerate(t for _, t in rows)), 3)
+    assert [d for d, _ in got] == [0, 0, 1, 1, 2]
+    assert [x for _, x in got] == pytest.approx([x for _, x in sorted((d or 0, want[i][3]) for i, (d, _) in enumerate(rows))], abs=1e-9)
+
+
+def test_parts_follow_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "PART_TOKENS", 100)
+    df = spark.createDataFrame([(i, "w " * 300) for i in range(10)], "doc_id long, text string")
+    assert ngram_lm.fit_ngrams(df).parts == 10
+
+
 def test_no_training_rows_and_no_rows(spark):
     df = spark.createDataFrame([(*t, "clash") for t in TEXTS], SCHEMA)
     model = ngram_lm.fit_ngrams(df.where("false"), parts=2)
