@@ -48,7 +48,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
 
 
 def key_of(id_col: str, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    """Of a row without an id its text's hash instead, so that such rows aren't one key."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.md5(F.col("text").cast("binary")), F.lit(""))).cast("binary"))
 
 
 def mix_sources(docs: DataFrame, seed: int = 7, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, rows_per_range: int = ROWS_PER_RANGE, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
