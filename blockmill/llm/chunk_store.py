@@ -24,9 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockmill.llm.common import new_path, sub_batches, trimmed
+from blockmill.llm.common import new_path, spread_join, sub_batches, trimmed, written
 
 FIELD_BITS = 24
+#: Chunks (of at most some ten kB) that are fetched by broadcast because very many places have them.
+MOST_HOT = 2_000
 #: Compression of chunks: higher levels hardly make them smaller.
 LEVEL = 5
 _RECIPE = "doc_id long, row_id long, size long, head binary, root binary, lengths array<int>, names array<binary>, slots array<long>, held array<boolean>, body binary"
@@ -209,6 +211,6 @@ def read_store(spark: SparkSession, path: str, measure: Callable[[bytes, bytes],
 
     none = F.lit(None).cast("array<struct<at:int,chunk:binary>>")
     asked = recipes.where(~whole).select("row_id", F.posexplode(F.arrays_zip("names", "held")).alias("at", "x")).where("not x.held").select("row_id", "at", F.col("x.names").alias("name"))
-    fetched = asked.join(chunks, "name").groupBy("row_id").agg(F.collect_list(F.struct("at", "chunk")).alias("others"))  # as long as its document
+    fetched = spread_join(written(asked, "asked-chunks"), chunks, "name", most_hot=MOST_HOT).groupBy("row_id").agg(F.collect_list(F.struct("at", "chunk")).alias("others"))  # as long as its document
     rows = recipes.where(whole).withColumn("others", none).unionByName(recipes.where(~whole).join(fetched, "row_id").select(*_FIELDS, "others"))
     return rows.select(*_FIELDS, "others").mapInArrow(trimmed(build), f"doc_id long, row_id long, size long, {schema}")

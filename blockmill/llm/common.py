@@ -142,15 +142,15 @@ def trimmed(work: Callable) -> Callable:
 HOT_ROWS, MOST_HOT = 1_000, 200_000
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS, most_hot: int = MOST_HOT) -> DataFrame:
     """rows joined with facts (at most one row a key; inner or left), where no key's rows meet in one task.
 
     rows must be a written table, as it is counted and read several times, and so should facts be if
     they cost work. Keys of many rows are joined by broadcast, the others by a shuffle, and rows without
     a key by neither. There are at most n / hot_rows keys of the first kind, and hot_rows grows with the
-    table, so that these are never more than MOST_HOT.
+    table, so that these are never more than most_hot.
     """
-    least = max(hot_rows, -(-rows.count() // MOST_HOT))
+    least = max(hot_rows, -(-rows.count() // most_hot))
     keyed = rows.where(F.col(key).isNotNull())
     hot = written(keyed.groupBy(key).count().where(F.col("count") >= least).select(key), "hot-keys")
     if hot.isEmpty():

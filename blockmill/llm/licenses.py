@@ -16,7 +16,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockmill.llm.common import LOWER, UPPER, written
+from blockmill.llm.common import LOWER, UPPER, spread_join, written
 
 #: Fixed by the contract: the words, and the base phrases with their labels.
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -77,9 +77,7 @@ def scan_licenses(docs: DataFrame, notices=NOTICES) -> DataFrame:
         F.array_join(base, ",").alias("base_labels"), F.array_join(labelled, ",").alias("labels"),
         F.round(F.greatest(F.coalesce("score", F.lit(0.0)), F.when(F.size("places") > 0, 0.5).otherwise(0.0)), 6).alias("score"),
     )
-    # rows without a name get keys of their own, as nulls would all meet in one task
-    spread = F.coalesce("name", F.concat(F.lit("-"), F.xxhash64("doc_id", "n_words").cast("string")))
-    out = rows.withColumn("name", spread).join(told, "name", "left")
+    out = spread_join(written(rows, "licence-rows"), written(told, "licence-labels"), "name", "left")
     none = {"n_base": F.lit(0).cast("long"), "base_labels": F.lit(""), "labels": F.lit(""), "score": F.lit(0.0)}
     return out.select("doc_id", "n_words", *[F.coalesce(c, none[c]).alias(c) if c in none else c for c in ("n_base", "first_word", "last_word", "base_labels", "labels", "score")])
 

@@ -3,7 +3,7 @@
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 op7_mix_sources = rf"""
-WITH d AS (SELECT doc_id, source, {_WORDS} AS size, md5('7:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+WITH d AS (SELECT doc_id, source, {_WORDS} AS size, md5('7:' || coalesce(doc_id::VARCHAR, md5(text), '')) AS k FROM documents),
 s AS (SELECT source, sum(size)::DOUBLE AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM s),
 r AS (SELECT *, source_size * 2 AS cap, source_size * 2 / weight AS ratio, 1.5 * sum(source_size) OVER () AS total FROM w),
