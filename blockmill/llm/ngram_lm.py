@@ -1,16 +1,22 @@
 """Interpolated modified Kneser-Ney n-grams, counted in Spark.
 
-Tasks count the n-grams of their rows in sorted arrays and send each range of n-gram hashes its share
-as one compressed block; a range's blocks are merged, and what the merge leaves is a part of the model:
-sorted arrays of n-gram hashes with counts, written to the shared folder. Ranges are of hashes of whole
-n-grams, so a context that a third of all words follow is spread over all of them; each range sums its
-contexts before these are sent on. Distinct n-grams become the next lower order's continuation counts
-in the same way. Scoring tasks memory-map the parts and look up sorted queries, so no task holds the
-model.
+Words come first: each gets a number, small for frequent ones, by which n-grams of all tasks are told
+in few bytes. Then tasks count the n-grams of their rows and send each part, a range of n-gram hashes,
+its share as one compressed block; a part's blocks are merged and what the merge leaves is written to
+the shared folder: hashes sorted by their first bits, with counts. Ranges are of hashes of whole n-grams,
+so a context that a third of all words follow is spread over all of them; each part sums its contexts
+before these are sent on. Distinct n-grams become the next lower order's continuation counts in the same
+way, one shuffle an order. Scoring tasks memory-map the parts and look up sorted queries, so no task
+holds the model.
+
+Counting tells n-grams apart by 64 bits of hash. The arrays keep a place in a directory and 32 bits of
+these, so an n-gram that wasn't counted is taken for another one with a chance of about 4e-9 a look-up,
+at any size of the model.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -23,14 +29,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockmill.llm.common import discard, new_path, schema_with, sub_batches, trimmed, written
+from blockmill.llm.common import bounded_batches, new_path, schema_with, sub_batches, trimmed
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\nend", b"\nstart"))  # no word holds white space
+END = np.uint64(xxhash.xxh3_64_intdigest(b"\nend"))  # no word holds white space
+#: Numbers of the place before a text, and of words that no training text holds.
+START, UNKNOWN = np.uint64(0), np.uint64(2**64 - 1)
 _FLUSH = 3_000_000
 #: Tokens of a part, by which a model's parts grow with its texts; bytes of a token to tell their number by.
 PART_TOKENS, TOKEN_BYTES = 2_000_000, 6
-_BLOCKS = "kind int, part int, block binary"
+#: Hashes of one place in a part's directory, about; files that a worker holds open.
+_PLACE, _MOST_OPEN = 16, 10_000
+_BLOCKS = "kind int, part int, block binary, figures array<long>"
+_N_FIGURES = 7
 
 
 def mix(*columns: np.ndarray) -> np.ndarray:
@@ -75,44 +86,19 @@ def _planes(c: np.ndarray) -> bytes:
 
 
 def _pack(columns: list[np.ndarray], counts: list[np.ndarray]) -> bytes:
-    """Rows as a block: a single column as differences, several as places in the block's list of words,
-    the most frequent first. Sorted rows make small blocks."""
-    n, words, raw = len(columns[0]), np.zeros(0, np.uint64), []
-    if len(columns) > 1:
-        words, at, times = np.unique(np.concatenate(columns), return_inverse=True, return_counts=True)
-        rank = np.empty(len(words), np.uint32)
-        by_times = np.argsort(-times, kind="stable")
-        rank[by_times] = np.arange(len(words), dtype=np.uint32)
-        ranks = [rank[x] for x in at.reshape(len(columns), n)]
-        order = np.lexsort(ranks[::-1])
-        raw = [_planes(np.diff(ranks[0][order], prepend=np.uint32(0))), *[_planes(r[order]) for r in ranks[1:]]]
-        counts = [c[order] for c in counts]
-        raw += [_planes(np.diff(words, prepend=np.uint64(0))), _planes(by_times.astype(np.uint32))]
-    else:
-        raw = [_planes(np.diff(columns[0], prepend=np.uint64(0)))]
-    head = np.array([n, len(columns), len(counts), len(words)], np.int64)
-    return zstandard.compress(b"".join([head.tobytes(), *raw, *[_planes(c.astype(np.uint32)) for c in counts]]), 1)
+    """Rows as a block. Sorted rows of small numbers make small blocks."""
+    order = np.lexsort(columns[::-1])
+    columns, counts = [c[order] for c in columns], [c[order].astype(np.uint64) for c in counts]
+    head = np.array([len(order), len(columns), len(counts)], np.int64)
+    first = np.diff(columns[0], prepend=np.uint64(0))
+    return zstandard.compress(b"".join([head.tobytes(), *map(_planes, [first, *columns[1:], *counts])]), 3)
 
 
 def _unpack(block: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
     raw = zstandard.decompress(block)
-    n, width, kinds, known = (int(x) for x in np.frombuffer(raw, np.int64, 4))
-    at = 32
-
-    def column(n: int, kind: type) -> np.ndarray:
-        nonlocal at
-        size = np.dtype(kind).itemsize
-        planes = np.frombuffer(raw, np.uint8, size * n, at).reshape(size, n)
-        at += size * n
-        return np.ascontiguousarray(planes.T).view(kind).ravel()
-
-    if width > 1:
-        ranks = [np.cumsum(column(n, np.uint32), dtype=np.uint32), *[column(n, np.uint32) for _ in range(width - 1)]]
-        words = np.cumsum(column(known, np.uint64), dtype=np.uint64)[column(known, np.uint32)]
-        columns = [words[r] for r in ranks]
-    else:
-        columns = [np.cumsum(column(n, np.uint64), dtype=np.uint64)]
-    return columns, [column(n, np.uint32).astype(np.int64) for _ in range(kinds)]
+    n, width, kinds = (int(x) for x in np.frombuffer(raw, np.int64, 3))
+    columns = [np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 24 + 8 * n * i).reshape(8, n).T).view(np.uint64).ravel() for i in range(width + kinds)]
+    return [np.cumsum(columns[0], dtype=np.uint64), *columns[1:width]], [c.astype(np.int64) for c in columns[width:]]
 
 
 def _summed(columns: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
@@ -124,27 +110,40 @@ def _summed(columns: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[n
     return [c[order[heads]] for c in columns], k[heads], [np.add.reduceat(c[order], heads) if len(k) else c for c in counts]
 
 
-def _dealt(kind: int, columns: list[np.ndarray], counts: list[np.ndarray], parts: int) -> Iterator[tuple[int, int, bytes]]:
-    """Blocks of distinct rows by the part of their hash."""
-    columns, keys, counts = _summed(columns, counts)
-    part = part_of(keys, parts)  # sorted by hash they are sorted by part
-    cuts = np.searchsorted(part, np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(cuts)):
-        i, j = cuts[p], cuts[p + 1]
-        yield kind, int(p), _pack([c[i:j] for c in columns], [c[i:j] for c in counts])
+def _part(columns: list[np.ndarray], keys: np.ndarray, parts: int) -> np.ndarray:
+    """Parts of n-grams: by their hash, but those of single words by the word's number."""
+    return part_of(keys, parts) if len(columns) > 1 else (keys % np.uint64(parts)).astype(np.int64)
+
+
+def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part with its rows."""
+    order = np.argsort(part, kind="stable")
+    heads = np.flatnonzero(np.diff(part[order], prepend=-1))
+    for rows in np.split(order, heads[1:]) if len(order) else ():
+        yield int(part[rows[0]]), rows
 
 
-def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    kind, part, block = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(part, pa.int32()), pa.array(block, pa.binary())], names=["kind", "part", "block"])
+def _dealt(kind: int, columns: list[np.ndarray], counts: list[np.ndarray], part: np.ndarray) -> Iterator[tuple]:
+    """A block of rows for each part."""
+    for p, rows in _by_part(part):
+        yield kind, p, _pack([c[rows] for c in columns], [c[rows] for c in counts]), None
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["kind", "part", "block", "figures"])
 
 
 @dataclass
 class NgramModel:
-    """folder holds, for each order n and part p, raw files of keys and values: n-p has n-grams' counts and,
-    below the highest order, their figures as contexts of order n + 1, up to 255; n-big-p and cn-big-p
-    have those above 254, c2-p has single words as contexts, 1-p words. Every part has all its files,
-    empty ones too: a file that isn't there fails the scoring."""
+    """folder holds one file for each order n and part p, n-p, and for each part of the word list, w-p.
+    Every part has all its files, empty ones too: a file that isn't there fails the scoring.
+
+    w-p: sorted hashes of words, their ranks in the part, and how often they were seen. A word's number
+    is rank * parts + p. n-p: counts of n-grams and, below the highest order, their figures as contexts
+    of order n + 1 (total, and numbers of words seen once, twice and more often); of single words by
+    rank, of others by hash.
+    """
 
     folder: str
     order: int
@@ -157,6 +156,9 @@ class NgramModel:
     total: float = 0.0
     spared: float = 0.0
 
+    def width(self, n: int) -> int:
+        return 1 if n == self.order else 5
+
 
 def _local(folder: str) -> str:
     if folder.startswith("file:"):
@@ -171,87 +173,192 @@ def _save(folder: str, name: str, *arrays: np.ndarray) -> None:
     path = f"{_local(folder)}/{name}"
     os.makedirs(os.path.dirname(path), exist_ok=True)
     mine = f"{path}.{uuid.uuid4().hex}"
+    head = json.dumps([[a.dtype.str, a.size] for a in arrays]).encode()
     with open(mine, "wb") as f:
-        f.write(np.array([len(arrays[0])], np.int64).tobytes())
+        f.write(head + b" " * (-(len(head) + 1) % 8) + b"\n")
         for a in arrays:
-            f.write(a.tobytes())
+            f.write(a.tobytes() + bytes(-a.nbytes % 8))
     os.replace(mine, path)
 
 
-def _save_nothing(folder: str, order: int, part: int) -> None:
-    """Empty files of a part that no n-gram fell into; files that are there stay."""
-    none = {"1": (np.uint64, np.uint64, np.uint32), "c2": (np.uint64, *[np.uint8] * 4)}
-    for n in range(2, order + 1):
-        none[f"{n}"] = (np.uint64, *[np.uint8] * (1 if n == order else 5))
-        none |= {f"{n}-big": (np.uint64, np.uint64), f"c{n}-big": (np.uint64, *[np.uint64] * 4)}
-    for name, kinds in none.items():
-        if not os.path.exists(f"{_local(folder)}/{name}-{part}"):
-            _save(folder, f"{name}-{part}", *[np.zeros(0, k) for k in kinds])
-
-
-def _load(folder: str, name: str, *kinds: type) -> list[np.ndarray]:
-    path, at = f"{_local(folder)}/{name}", 8
+def _load(folder: str, name: str) -> list[np.ndarray]:
+    path = f"{_local(folder)}/{name}"
     if not os.path.exists(path):
         raise FileNotFoundError(f"{path}: a part of the model isn't there; executors must mount the folder in spark.checkpoint.dir")
-    n, out = int(np.fromfile(path, np.int64, 1)[0]), []
-    for k in kinds:
-        out.append(np.memmap(path, k, "r", at, (n,)) if n else np.zeros(0, k))
-        at += n * np.dtype(k).itemsize
+    with open(path, "rb") as f:
+        head = f.readline()
+    raw, at, out = np.memmap(path, np.uint8, "r"), len(head), []
+    for kind, n in json.loads(head):
+        size = np.dtype(kind).itemsize * n
+        out.append(raw[at : at + size].view(kind))
+        at += size + -size % 8
+    return out
+
+
+_open: dict[str, dict] = {}
+
+
+def _opened(folder: str, name: str) -> list[np.ndarray]:
+    if folder not in _open or len(_open[folder]) >= _MOST_OPEN:
+        _open.clear()  # a worker maps one model at a time
+    held = _open.setdefault(folder, {})
+    if name not in held:
+        held[name] = _load(folder, name)
+    return held[name]
+
+
+def _coded(values: np.ndarray) -> list[np.ndarray]:
+    """Rows of figures as one byte each: a place among the 255 most frequent rows, or 255 for one that
+    stands apart, with its position."""
+    _, first, code, times = np.unique(mix(*values.T.astype(np.uint64)), return_index=True, return_inverse=True, return_counts=True)
+    by_times = np.argsort(-times, kind="stable")
+    rank = np.empty(len(times), np.int64)
+    rank[by_times] = np.arange(len(times))
+    code = rank[code]
+    apart = np.flatnonzero(code >= 255)
+    return [np.minimum(code, 255).astype(np.uint8), values[first[by_times[:255]]].ravel(), apart, values[apart].ravel()]
+
+
+def _decoded(coded: list[np.ndarray], at: np.ndarray, width: int) -> np.ndarray:
+    codes, common, apart, rare = coded
+    code = codes[at]
+    out = np.zeros((len(at), width), np.int64)
+    usual = code < 255
+    out[usual] = common.reshape(-1, width)[code[usual]]
+    out[~usual] = rare.reshape(-1, width)[np.searchsorted(apart, at[~usual])]
     return out
 
 
-def _merge(folder: str, order: int, parts: int, most: int):
-    """Kinds of blocks: 0 words with their counts, n n-grams of order n with theirs, 100 + n contexts of
-    order n with their total and their numbers of words seen once, twice and more often; -1 figures."""
+def _places(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
+    """Places of hashes in the directory of their part, by the first bits after those that tell the part."""
+    inside = (keys >> np.uint64(32)) * np.uint64(parts) & np.uint64(0xFFFFFFFF)
+    return (inside >> np.uint64(32 - bits)).astype(np.int64)
+
+
+def _save_grams(folder: str, name: str, keys: np.ndarray, values: np.ndarray, parts: int) -> None:
+    bits = min(max(len(keys) // _PLACE, 1).bit_length() - 1, 32)
+    place, tails = _places(keys, parts, bits), keys.astype(np.uint32)
+    order = np.lexsort((tails, place))
+    starts = np.searchsorted(place[order], np.arange(2**bits + 1))
+    _save(folder, name, starts.astype(np.uint32), tails[order], *_coded(values[order]))
+
+
+def _held(starts: np.ndarray, tails: np.ndarray, keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys a part holds, and their positions: a binary search of all keys at once."""
+    place, ask = _places(keys, parts, (len(starts) - 1).bit_length() - 1), keys.astype(np.uint32)
+    low, end = starts[place].astype(np.int64), starts[place + 1].astype(np.int64)
+    high, last = end.copy(), len(tails) - 1
+    while (wide := low < high).any():
+        middle = np.minimum((low + high) >> 1, last)
+        less = tails[middle] < ask
+        low, high = np.where(wide & less, middle + 1, low), np.where(wide & ~less, middle, high)
+    hit = (low < end) & (tails[np.minimum(low, last)] == ask)
+    return hit, low[hit]
+
+
+def _numbers(folder: str, parts: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of sorted word hashes, and how often they were seen; UNKNOWN and 0 without an entry."""
+    ids, seen = np.full(len(words), UNKNOWN), np.zeros(len(words), np.int64)
+    for p, ask in _by_part(part_of(words, parts)):
+        keys, ranks, *coded = _opened(folder, f"w-{p}")
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, words[ask]), len(keys) - 1)
+            hit = keys[at] == words[ask]
+            ids[ask[hit]] = ranks[at[hit]].astype(np.uint64) * np.uint64(parts) + np.uint64(p)
+            seen[ask[hit]] = _decoded(coded, at[hit], 1)[:, 0]
+    return ids, seen
+
+
+def _find(model: NgramModel, columns: list[np.ndarray]) -> np.ndarray:
+    """A row of figures for each n-gram of word numbers, 0 where there is none."""
+    keys, back = np.unique(mix(*columns), return_inverse=True)
+    n, width = len(columns), model.width(len(columns))
+    out = np.zeros((len(keys), width), np.int64)
+    known = np.arange(len(keys))[keys != UNKNOWN] if n == 1 else np.arange(len(keys))
+    for p, ask in _by_part(_part(columns, keys[known], model.parts)):
+        ask = known[ask]
+        if n == 1:
+            out[ask] = _decoded(_opened(model.folder, f"1-{p}"), (keys[ask] // np.uint64(model.parts)).astype(np.int64), width)
+            continue
+        starts, tails, *coded = _opened(model.folder, f"{n}-{p}")
+        if len(tails):
+            hit, at = _held(starts, tails, keys[ask], model.parts)
+            out[ask[hit]] = _decoded(coded, at, width)
+    return out[back]
+
+
+def _list_words(folder: str, parts: int):
+    def listed(group: pa.Table) -> pa.Table:
+        """One part of the word list. Ranks follow the counts, then the hashes, and start at 1."""
+        part = group.column("part")[0].as_py()
+        blocks = [_unpack(x) for x in group.column("block").to_pylist()]
+        _, keys, (seen,) = _summed([np.concatenate([c for (c,), _ in blocks])], [np.concatenate([n for _, (n,) in blocks])])
+        ranks = np.empty(len(keys), np.uint32)
+        ranks[np.lexsort((keys, -seen))] = np.arange(1, len(keys) + 1, dtype=np.uint32)
+        _save(folder, f"w-{part}", keys, ranks, *_coded(seen[:, None]))
+        return pa.Table.from_batches([_rows([(-1, part, None, [int(seen.sum()), len(keys)] + [0] * (_N_FIGURES - 2))])])
+
+    return listed
+
+
+def _merge(folder: str, n: int, parts: int, most: int):
+    """Kinds of blocks: n n-grams of order n with their counts, 100 + n contexts of order n with their
+    total and their numbers of words seen once, twice and more often; -n figures of order n."""
 
     def merge(group: pa.Table) -> pa.Table:
         """One part: its n-grams of this order and contexts of the next, and what the lower order gets."""
-        part, out = group.column("part")[0].as_py(), []
-        kinds: dict[int, list] = {}
-        for kind, block in zip(group.column("kind").to_pylist(), group.column("block").to_pylist(), strict=True):
-            kinds.setdefault(kind, []).append(_unpack(block))
-        joined = {k: _summed(*[[np.concatenate([x[w][i] for x in xs]) for i in range(len(xs[0][w]))] for w in (0, 1)]) for k, xs in kinds.items()}
-        contexts, few = np.zeros(0, np.uint64), np.zeros((4, 0), np.int64)
-        if 101 + order in joined:
-            _, contexts, few = joined[101 + order]
-            few = np.stack(few)
-            big = np.flatnonzero(few[0] > 254)  # the total is the largest of them
-            _save(folder, f"c{order + 1}-big-{part}", contexts[big], *few[:, big].astype(np.uint64))
-        if order == 1:
-            _save(folder, f"c2-{part}", contexts, *np.minimum(few, 255).astype(np.uint8))
-        if order > 1 and order in joined:
-            columns, keys, (counts,) = joined[order]
-            # nearly all n-grams are contexts too, so both have one list of keys
-            both = np.union1d(keys, contexts)
-            held = np.zeros((1 if order == most else 5, len(both)), np.uint8)
-            held[0, np.searchsorted(both, keys)] = np.minimum(counts, 255)
-            if order < most:
-                held[1:, np.searchsorted(both, contexts)] = np.minimum(few, 255)
-            _save(folder, f"{order}-{part}", both, *held)
-            big = np.flatnonzero(counts > 254)
-            _save(folder, f"{order}-big-{part}", keys[big], counts[big].astype(np.uint64))
-        elif order > 1 and len(contexts):
-            _save(folder, f"{order}-{part}", contexts, np.zeros(len(contexts), np.uint8), *np.minimum(few, 255).astype(np.uint8))
-        if order > 1 and order in joined:
-            out.append((-1, part, np.array([(counts == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes()))
-            ones = [(counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts > 2).astype(np.int64)]
-            out += _dealt(100 + order, [mix(*columns[:-1])], [counts, *ones], parts)
-            out += _dealt(order - 1, columns[1:], [np.ones(len(keys), np.int64)], parts)
-        if order > 1 and 0 in joined:
-            out.append((0, part, _pack([joined[0][1]], joined[0][2])))
-        if order == 1 and 0 in joined:  # every continued word is a counted one
-            _, raw, (seen,) = joined[0]
-            continued = np.zeros(len(raw), np.int64)
-            if 1 in joined:
-                continued[np.searchsorted(raw, joined[1][1])] = joined[1][2][0]
-            _save(folder, f"1-{part}", raw, seen.astype(np.uint64), continued.astype(np.uint32))
-            stats = np.array([*[(continued == k).sum() for k in (1, 2, 3, 4)], (continued > 2).sum(), continued.sum(), seen.sum(), len(raw)], np.int64)
-            out.append((-1, part, stats.tobytes()))
+        part, out, found = group.column("part")[0].as_py(), [], []
+        for kind, block, figures in zip(*(group.column(c).to_pylist() for c in ("kind", "block", "figures")), strict=True):
+            if kind < 0:
+                out.append((kind, part, None, figures))
+                continue
+            columns, counts = _unpack(block)
+            none = np.zeros(len(columns[0]), np.int64)
+            found.append((columns, [*counts, *[none] * 4][:5] if kind == n else [none, *counts]))
+        if not found:
+            return pa.Table.from_batches([_rows(out)])
+        columns, keys, counts = _summed(*[[np.concatenate([x[w][i] for x in found]) for i in range(len(found[0][w]))] for w in (0, 1)])
+        found.clear()
+        values = np.stack(counts, axis=1)[:, : 1 if n == most else 5]
+        count = values[:, 0]
+        if n == 1:
+            ranks = (keys // np.uint64(parts)).astype(np.int64)
+            every = np.zeros((len(_opened(folder, f"w-{part}")[0]) + 1, 5), np.int64)
+            every[ranks] = values
+            _save(folder, f"1-{part}", *_coded(every))
+        else:
+            _save_grams(folder, f"{n}-{part}", keys, values, parts)
+            own = count > 0
+            columns, count = [c[own] for c in columns], count[own]
+            ones = [(count == 1).astype(np.int64), (count == 2).astype(np.int64), (count > 2).astype(np.int64)]
+            for kind, some, more in ((100 + n - 1, columns[:-1], [count, *ones]), (n - 1, columns[1:], [np.ones(len(count), np.int64)])):
+                some, keys, more = _summed(some, more)
+                out += _dealt(kind, some, more, _part(some, keys, parts))
+        out.append((-n, part, None, [int(x) for x in (*[(count == k).sum() for k in (1, 2, 3, 4)], (count > 2).sum(), count.sum(), 0)]))
         return pa.Table.from_batches([_rows(out)])
 
     return merge
 
 
+def _complete(folder: str, parts: int, names: tuple[str, ...]):
+    """Empty files of parts that nothing fell into; files that are there stay."""
+    none = [np.zeros(0, k) for k in (np.uint8, np.int64, np.int64, np.int64)]
+
+    def complete(rows) -> None:
+        for r in rows:
+            for name in names:
+                if not os.path.exists(f"{_local(folder)}/{name}-{r['id']}"):
+                    keys = {"w": [np.zeros(0, np.uint64), np.zeros(0, np.uint32)], "1": []}.get(name, [np.zeros(2, np.uint32), np.zeros(0, np.uint32)])
+                    _save(folder, f"{name}-{r['id']}", *keys, *(_coded(np.zeros((1, 5), np.int64)) if name == "1" else none))
+
+    return complete
+
+
+def _figures(rows: DataFrame) -> dict[int, list[int]]:
+    sums = rows.where("kind < 0").groupBy("kind").agg(*[F.sum(F.col("figures")[i]).alias(f"f{i}") for i in range(_N_FIGURES)])
+    return {-r["kind"]: list(r)[1:] for r in sums.collect()}  # a row an order
+
+
 def fit_ngrams(docs: DataFrame, order: int = 2, parts: int | None = None) -> NgramModel:
     """A model of the texts (column text; null is empty) of docs. order is 2 at least.
 
@@ -260,120 +367,84 @@ def fit_ngrams(docs: DataFrame, order: int = 2, parts: int | None = None) -> Ngr
     often as it stands there. An empty table gives a model in which every token is unknown.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     if order < 2:
         raise ValueError("order must be 2 at least")
     if parts is None:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         parts = -(-size // (TOKEN_BYTES * PART_TOKENS)) or 1
     model = NgramModel(new_path(spark, "ngrams"), order, parts)
-
-    def count(batches):
-        held: list = []
-
-        def flush():
-            columns = [np.concatenate([x[i] for x in held]) for i in range(order)]
-            held.clear()
-            ones = [np.ones(len(columns[0]), np.int64)]
-            rows = [*_dealt(order, columns, ones, parts), *_dealt(0, columns[-1:], ones, parts)]
-            for i in range(0, len(rows), 16):
-                yield _rows(rows[i : i + 16])
-
-        for b in batches:
-            texts = b.column(0).cast(pa.binary()).to_pylist()
-            for i, j in sub_batches(texts):
-                held.append(grams(*tokens(texts[i:j]), order))
-                if sum(len(x[0]) for x in held) >= _FLUSH:
-                    yield from flush()
-        if held:
-            yield from flush()
-
-    rows = docs.select("text").mapInArrow(trimmed(count), _BLOCKS)
-    stats: dict[int, np.ndarray] = {}
-    before = None
+    folder = model.folder
+
+    def counted(flush):
+        def count(batches):
+            held: list = []
+
+            def blocks():
+                h, sizes = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+                held.clear()
+                rows = list(flush(h, sizes))
+                for i in range(0, len(rows), 16):
+                    yield _rows(rows[i : i + 16])
+
+            for b in batches:
+                texts = b.column(0).cast(pa.binary()).to_pylist()
+                for i, j in sub_batches(texts):
+                    held.append(tokens(texts[i:j]))
+                    if sum(len(h) for h, _ in held) >= _FLUSH:
+                        yield from blocks()
+            if held:
+                yield from blocks()
+
+        return docs.select("text").mapInArrow(trimmed(count), _BLOCKS)
+
+    def words(h, sizes):
+        known, times = np.unique(h, return_counts=True)
+        return _dealt(0, [known], [times], part_of(known, parts))
+
+    def ngrams(h, sizes):
+        known, at = np.unique(h, return_inverse=True)
+        columns, keys, times = _summed(grams(_numbers(folder, parts, known)[0][at], sizes, order), [np.ones(len(h), np.int64)])
+        return _dealt(order, columns, times, _part(columns, keys, parts))
+
+    every_part = spark.range(parts, numPartitions=min(parts, 64))
+    model.train_tokens, model.distinct = (_figures(counted(words).groupBy("part").applyInArrow(_list_words(folder, parts), _BLOCKS)).get(1) or [0, 0])[:2]
+    every_part.foreachPartition(_complete(folder, parts, ("w",)))
+    rows = counted(ngrams)
     for n in range(order, 0, -1):
-        blocks = written(rows.groupBy("part").applyInArrow(_merge(model.folder, n, parts, order), _BLOCKS), "ngram-blocks")
-        if before is not None:
-            discard(before)
-        before, rows = blocks, blocks
-        spark._jvm.System.gc()  # lets Spark delete the files of shuffles that nothing reads any more
-        found = rows.where("kind = -1").select("block").collect()  # a few numbers a part
-        stats[n] = sum((np.frombuffer(r["block"], np.int64) for r in found), np.zeros(8 if n == 1 else 4, np.int64))
-        rows = rows.where("kind >= 0")
-    discard(before)
-    spark.range(parts, numPartitions=min(parts, 64)).foreachPartition(_nothing_left_out(model.folder, order))
+        rows = rows.groupBy("part").applyInArrow(_merge(folder, n, parts, order), _BLOCKS)
+    stats = {n: [0] * _N_FIGURES for n in range(1, order + 1)} | _figures(rows)
+    every_part.foreachPartition(_complete(folder, parts, tuple(str(n) for n in range(1, order + 1))))
     for n, s in stats.items():
         n1, n2, n3, n4 = (float(x) for x in s[:4])
         y = n1 / (n1 + 2 * n2) if n1 else 0.5
         model.discounts[n] = np.array([0.0, *[min(max(k - (k + 1) * y * up / low, 0.1), k - 0.05) if low and up else k * 0.5 for k, low, up in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]])
     low, d = stats[1], model.discounts[1]
-    model.total, model.train_tokens, model.distinct = float(low[5]), int(low[6]), int(low[7])
+    model.total = float(low[5])
     model.spared = float(d[1] * low[0] + d[2] * low[1] + d[3] * low[4])
     return model
 
 
-def _nothing_left_out(folder: str, order: int):
-    def complete(rows) -> None:
-        for r in rows:
-            _save_nothing(folder, order, r["id"])
-
-    return complete
-
-
-_open: dict[str, dict] = {}
-
-
-def _find(model: NgramModel, name: str, kinds: tuple, h: np.ndarray) -> list[np.ndarray]:
-    """Values of the arrays called name-<part> for sorted hashes h, 0 where unknown."""
-    out = [np.zeros(len(h), k) for k in kinds[1:]]
-    if model.folder not in _open:
-        _open.clear()  # a worker maps one model at a time
-    opened = _open.setdefault(model.folder, {})
-    bounds = np.searchsorted(part_of(h, model.parts), np.arange(model.parts + 1))
-    for p in np.flatnonzero(np.diff(bounds)):
-        ask = np.arange(bounds[p], bounds[p + 1])
-        if (name, p, kinds) not in opened:
-            opened[name, p, kinds] = _load(model.folder, f"{name}-{p}", *kinds)
-        keys, *values = opened[name, p, kinds]
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, h[ask]), len(keys) - 1)
-            hit = keys[at] == h[ask]
-            for o, v in zip(out, values, strict=True):
-                o[ask[hit]] = v[at[hit]]
-    return out
-
-
 def log_probabilities(model: NgramModel, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log10 probability and training count of each token."""
     words, back = np.unique(h, return_inverse=True)
-    raw, continued = _find(model, "1", (np.uint64, np.uint64, np.uint32), words) if model.distinct else (np.zeros(len(words), np.int64), np.zeros(len(words), np.int64))
-    d = model.discounts[1]
-    if model.total:
-        kept = np.maximum(continued - d[np.minimum(continued, 3)], 0)
-        p = ((kept + model.spared / (model.distinct + 1)) / model.total)[back]
-    else:
-        p = np.full(len(h), 1 / (model.distinct + 1))
-    for n in range(2, model.order + 1):
-        columns, d = grams(h, sizes, n), model.discounts[n]
-        context = mix(*columns[:-1])
-        contexts, of = np.unique(context, return_inverse=True)
-        if n == 2:
-            few = np.array(_find(model, "c2", (np.uint64, *[np.uint8] * 4), contexts), float)
-        else:
-            few = np.array(_find(model, f"{n - 1}", (np.uint64, *[np.uint8] * 5), contexts)[1:], float)
-        many = np.flatnonzero(few[0] == 255)  # the total is the largest of them
-        if len(many):
-            few[:, many] = _find(model, f"c{n}-big", (np.uint64, *[np.uint64] * 4), contexts[many])
-        total, n1, n2, n3 = few
-        key, again = np.unique(mix(*columns), return_inverse=True)
-        (count,) = _find(model, f"{n}", (np.uint64, np.uint8), key)
-        count = count.astype(np.int64)
-        many = np.flatnonzero(count == 255)
-        if len(many):
-            count[many] = _find(model, f"{n}-big", (np.uint64, np.uint64), key[many])[0]
-        kept = np.maximum(count - d[np.minimum(count, 3)], 0)[again]
-        spared, total = (d[1] * n1 + d[2] * n2 + d[3] * n3)[of], total[of]
-        p = np.where(total > 0, (kept + spared * p) / np.maximum(total, 1), p)
-    return np.log10(p), raw.astype(np.int64)[back]
+    ids, seen = (x[back] for x in _numbers(model.folder, model.parts, words))
+    first = np.cumsum(sizes) - sizes
+    p = np.full(len(h), 1 / (model.distinct + 1))
+    few = None
+    for n in range(1, model.order + 1):
+        figures, d = _find(model, grams(ids, sizes, n)), model.discounts[n]
+        count = figures[:, 0]
+        kept = np.maximum(count - d[np.minimum(count, 3)], 0)
+        if n > 1:
+            total, n1, n2, n3 = few.T
+            p = np.where(total > 0, (kept + (d[1] * n1 + d[2] * n2 + d[3] * n3) * p) / np.maximum(total, 1), p)
+        elif model.total:
+            p = (kept + model.spared / (model.distinct + 1)) / model.total
+        if n < model.order:  # a token's context is the n-gram that ends before it
+            few = np.roll(figures[:, 1:], 1, axis=0)
+            few[first] = _find(model, [np.array([START])] * n)[:, 1:]
+    return np.log10(p), seen
 
 
 def score_ngrams(docs: DataFrame, model: NgramModel) -> DataFrame:
