@@ -54,8 +54,16 @@ def mix(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def _spread(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of hashes, which are ranges of them, and their places in the part as fractions of 2 ** 64."""
+    mask, shift, n = np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(parts)
+    low = (h & mask) * n
+    high = (h >> shift) * n + (low >> shift)
+    return (high >> shift).astype(np.int64), (high << shift) | (low & mask)
+
+
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    return _spread(h, parts)[0]
 
 
 def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,25 +88,33 @@ def grams(h: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
     return [*columns, h]
 
 
-def _planes(c: np.ndarray) -> bytes:
-    """A column's bytes, all first ones before all second ones, which compress better."""
-    return c.view(np.uint8).reshape(-1, c.itemsize).T.tobytes()
+def _planes(c: np.ndarray) -> tuple[int, bytes]:
+    """The bytes that a column's numbers need, and all first ones before all second ones."""
+    width = max((int(c.max(initial=0)).bit_length() + 7) // 8, 1)
+    return width, c.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def _pack(columns: list[np.ndarray], counts: list[np.ndarray]) -> bytes:
-    """Rows as a block. Sorted rows of small numbers make small blocks."""
-    order = np.lexsort(columns[::-1])
-    columns, counts = [c[order] for c in columns], [c[order].astype(np.uint64) for c in counts]
-    head = np.array([len(order), len(columns), len(counts)], np.int64)
-    first = np.diff(columns[0], prepend=np.uint64(0))
-    return zstandard.compress(b"".join([head.tobytes(), *map(_planes, [first, *columns[1:], *counts])]), 3)
+    """Rows as a block. Those in the order of their first columns make small blocks."""
+    key = (columns[0] << np.uint64(32)) ^ columns[1] if len(columns) > 1 else columns[0]
+    if (key[1:] < key[:-1]).any():
+        order = np.argsort(key)
+        columns, counts = [c[order] for c in columns], [c[order] for c in counts]
+    first = np.diff(columns[0], prepend=np.uint64(0))  # wraps around where the order falls
+    widths, raw = zip(*map(_planes, [first, *columns[1:], *[c.astype(np.uint64) for c in counts]]), strict=True)
+    return zstandard.compress(b"".join([np.array([len(first), len(columns), len(widths), *widths], np.int64).tobytes(), *raw]), 1)
 
 
 def _unpack(block: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
     raw = zstandard.decompress(block)
     n, width, kinds = (int(x) for x in np.frombuffer(raw, np.int64, 3))
-    columns = [np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 24 + 8 * n * i).reshape(8, n).T).view(np.uint64).ravel() for i in range(width + kinds)]
-    return [np.cumsum(columns[0], dtype=np.uint64), *columns[1:width]], [c.astype(np.int64) for c in columns[width:]]
+    at, columns = 24 + 8 * kinds, []
+    for size in np.frombuffer(raw, np.int64, kinds, 24).tolist():
+        c = np.zeros((n, 8), np.uint8)
+        c[:, :size] = np.frombuffer(raw, np.uint8, size * n, at).reshape(size, n).T
+        columns.append(c.view(np.uint64).ravel())
+        at += size * n
+    return [np.cumsum(columns[0], dtype=np.uint64), *columns[1:width]], [c.view(np.int64) for c in columns[width:]]
 
 
 def _summed(columns: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
@@ -107,7 +123,31 @@ def _summed(columns: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[n
     order = np.argsort(k)
     k = k[order]
     heads = np.flatnonzero(np.r_[True, k[1:] != k[:-1]][: len(k)])
-    return [c[order[heads]] for c in columns], k[heads], [np.add.reduceat(c[order], heads) if len(k) else c for c in counts]
+    at = order[heads]
+    return [c[at] for c in columns], k[heads], [np.add.reduceat(c[order], heads) if len(k) else c for c in counts]
+
+
+def _counted(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows and their numbers. Rows of numbers that fit in 64 bits are sorted as such."""
+    bits = max(int(c.max(initial=0)).bit_length() for c in columns)
+    if bits * len(columns) > 64 or len(columns) == 1:
+        columns, _, (times,) = _summed(columns, [np.ones(len(columns[0]), np.int64)])
+        return columns, times
+    key, shift = columns[0], np.uint64(bits)
+    for c in columns[1:]:
+        key = key << shift | c
+    key = np.sort(key)
+    heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    times, key, out = np.diff(heads, append=len(key)), key[heads], []
+    for _ in columns[1:]:
+        out.append(key & np.uint64((1 << bits) - 1))
+        key = key >> shift
+    return [key, *out[::-1]], times
+
+
+def _sent(kind: int, columns: list[np.ndarray], counts: list[np.ndarray], parts: int) -> Iterator[tuple]:
+    """Blocks of distinct n-grams for the parts that they belong to."""
+    return _dealt(kind, columns, counts, _part(columns, mix(*columns), parts))
 
 
 def _part(columns: list[np.ndarray], keys: np.ndarray, parts: int) -> np.ndarray:
@@ -117,10 +157,15 @@ def _part(columns: list[np.ndarray], keys: np.ndarray, parts: int) -> np.ndarray
 
 def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each part with its rows."""
-    order = np.argsort(part, kind="stable")
-    heads = np.flatnonzero(np.diff(part[order], prepend=-1))
-    for rows in np.split(order, heads[1:]) if len(order) else ():
-        yield int(part[rows[0]]), rows
+    if (part[1:] < part[:-1]).any():
+        order = np.argsort(part.astype(np.uint16) if part.max() < 1 << 16 else part, kind="stable")
+        heads = np.flatnonzero(np.diff(part[order], prepend=-1))
+        for rows in np.split(order, heads[1:]):
+            yield int(part[rows[0]]), rows
+    else:
+        heads = np.flatnonzero(np.diff(part, prepend=-1))
+        for i, j in zip(heads, [*heads[1:], len(part)], strict=False):
+            yield int(part[i]), np.arange(i, j)
 
 
 def _dealt(kind: int, columns: list[np.ndarray], counts: list[np.ndarray], part: np.ndarray) -> Iterator[tuple]:
@@ -208,51 +253,57 @@ def _opened(folder: str, name: str) -> list[np.ndarray]:
 
 
 def _coded(values: np.ndarray) -> list[np.ndarray]:
-    """Rows of figures as one byte each: a place among the 255 most frequent rows, or 255 for one that
-    stands apart, with its position."""
-    _, first, code, times = np.unique(mix(*values.T.astype(np.uint64)), return_index=True, return_inverse=True, return_counts=True)
-    by_times = np.argsort(-times, kind="stable")
-    rank = np.empty(len(times), np.int64)
-    rank[by_times] = np.arange(len(times))
-    code = rank[code]
-    apart = np.flatnonzero(code >= 255)
-    return [np.minimum(code, 255).astype(np.uint8), values[first[by_times[:255]]].ravel(), apart, values[apart].ravel()]
+    """Rows of figures as one byte each: a place among the 255 most frequent rows of small figures, or
+    255 for a row that stands apart, with its position."""
+    width = values.shape[1]
+    bits = 15 // width
+    small = (values < 1 << bits).all(axis=1)
+    key = np.where(small, values @ (1 << bits * np.arange(width)), 0)
+    times = np.bincount(key[small], minlength=1)
+    common = np.argsort(-times, kind="stable")[: min(255, np.count_nonzero(times))]
+    rank = np.full(1 << 15, 255, np.uint8)
+    rank[common] = np.arange(len(common), dtype=np.uint8)
+    code = np.where(small, rank[key], np.uint8(255))
+    apart = np.flatnonzero(code == 255)
+    table = np.zeros((256, width), np.int64)
+    table[: len(common)] = common[:, None] >> bits * np.arange(width) & (1 << bits) - 1
+    return [code, table.ravel(), apart, values[apart].ravel()]
 
 
 def _decoded(coded: list[np.ndarray], at: np.ndarray, width: int) -> np.ndarray:
     codes, common, apart, rare = coded
     code = codes[at]
-    out = np.zeros((len(at), width), np.int64)
-    usual = code < 255
-    out[usual] = common.reshape(-1, width)[code[usual]]
-    out[~usual] = rare.reshape(-1, width)[np.searchsorted(apart, at[~usual])]
+    out = common.reshape(-1, width)[code]
+    odd = np.flatnonzero(code == 255)
+    if len(odd):
+        out[odd] = rare.reshape(-1, width)[np.searchsorted(apart, at[odd])]
     return out
 
 
-def _places(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
-    """Places of hashes in the directory of their part, by the first bits after those that tell the part."""
-    inside = (keys >> np.uint64(32)) * np.uint64(parts) & np.uint64(0xFFFFFFFF)
-    return (inside >> np.uint64(32 - bits)).astype(np.int64)
+def _directory(keys: np.ndarray, parts: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes as places in the directory of their part, by the first bits after those that tell the part,
+    and as the 32 bits that follow. Sorted hashes stay sorted."""
+    inside = _spread(keys, parts)[1]
+    return (inside >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64), (inside >> np.uint64(32 - bits)).astype(np.uint32)
 
 
 def _save_grams(folder: str, name: str, keys: np.ndarray, values: np.ndarray, parts: int) -> None:
     bits = min(max(len(keys) // _PLACE, 1).bit_length() - 1, 32)
-    place, tails = _places(keys, parts, bits), keys.astype(np.uint32)
-    order = np.lexsort((tails, place))
-    starts = np.searchsorted(place[order], np.arange(2**bits + 1))
-    _save(folder, name, starts.astype(np.uint32), tails[order], *_coded(values[order]))
+    place, tails = _directory(keys, parts, bits)
+    starts = np.r_[0, np.cumsum(np.bincount(place, minlength=2**bits))]
+    _save(folder, name, starts.astype(np.uint32), tails, *_coded(values))
 
 
 def _held(starts: np.ndarray, tails: np.ndarray, keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Which keys a part holds, and their positions: a binary search of all keys at once."""
-    place, ask = _places(keys, parts, (len(starts) - 1).bit_length() - 1), keys.astype(np.uint32)
+    place, ask = _directory(keys, parts, (len(starts) - 1).bit_length() - 1)
     low, end = starts[place].astype(np.int64), starts[place + 1].astype(np.int64)
-    high, last = end.copy(), len(tails) - 1
-    while (wide := low < high).any():
-        middle = np.minimum((low + high) >> 1, last)
-        less = tails[middle] < ask
-        low, high = np.where(wide & less, middle + 1, low), np.where(wide & ~less, middle, high)
-    hit = (low < end) & (tails[np.minimum(low, last)] == ask)
+    step = 1 << int(np.max(end - low, initial=0)).bit_length() >> 1
+    while step:  # low never passes the first tail that isn't below what is asked for
+        further = low + step
+        low = np.where((further <= end) & (tails[np.minimum(further, len(tails)) - 1] < ask), further, low)
+        step >>= 1
+    hit = (low < end) & (tails[np.minimum(low, len(tails) - 1)] == ask)
     return hit, low[hit]
 
 
@@ -269,22 +320,26 @@ def _numbers(folder: str, parts: int, words: np.ndarray) -> tuple[np.ndarray, np
     return ids, seen
 
 
-def _find(model: NgramModel, columns: list[np.ndarray]) -> np.ndarray:
-    """A row of figures for each n-gram of word numbers, 0 where there is none."""
+def _find(model: NgramModel, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A row of figures for each distinct n-gram of word numbers, 0 where there is none, and the rows'
+    n-grams."""
     keys, back = np.unique(mix(*columns), return_inverse=True)
-    n, width = len(columns), model.width(len(columns))
-    out = np.zeros((len(keys), width), np.int64)
-    known = np.arange(len(keys))[keys != UNKNOWN] if n == 1 else np.arange(len(keys))
-    for p, ask in _by_part(_part(columns, keys[known], model.parts)):
-        ask = known[ask]
-        if n == 1:
-            out[ask] = _decoded(_opened(model.folder, f"1-{p}"), (keys[ask] // np.uint64(model.parts)).astype(np.int64), width)
-            continue
-        starts, tails, *coded = _opened(model.folder, f"{n}-{p}")
+    out = np.zeros((len(keys), model.width(len(columns))), np.int64)
+    for p, ask in _by_part(part_of(keys, model.parts)):
+        starts, tails, *coded = _opened(model.folder, f"{len(columns)}-{p}")
         if len(tails):
             hit, at = _held(starts, tails, keys[ask], model.parts)
-            out[ask[hit]] = _decoded(coded, at, width)
-    return out[back]
+            out[ask[hit]] = _decoded(coded, at, out.shape[1])
+    return out, back
+
+
+def _find_words(model: NgramModel, ids: np.ndarray) -> np.ndarray:
+    """A row of figures for each word number, 0 for unknown ones."""
+    out = np.zeros((len(ids), 5), np.int64)
+    known = np.flatnonzero(ids != UNKNOWN)
+    for p, ask in _by_part(_part([ids], ids[known], model.parts)):
+        out[known[ask]] = _decoded(_opened(model.folder, f"1-{p}"), (ids[known[ask]] // np.uint64(model.parts)).astype(np.int64), 5)
+    return out
 
 
 def _list_words(folder: str, parts: int):
@@ -314,14 +369,14 @@ def _merge(folder: str, n: int, parts: int, most: int):
                 continue
             columns, counts = _unpack(block)
             none = np.zeros(len(columns[0]), np.int64)
-            found.append((columns, [*counts, *[none] * 4][:5] if kind == n else [none, *counts]))
+            found.append((columns, [none, *counts] if kind > 100 else counts if n == most else [*counts, *[none] * 4]))
         if not found:
             return pa.Table.from_batches([_rows(out)])
         columns, keys, counts = _summed(*[[np.concatenate([x[w][i] for x in found]) for i in range(len(found[0][w]))] for w in (0, 1)])
         found.clear()
-        values = np.stack(counts, axis=1)[:, : 1 if n == most else 5]
+        values = np.stack(counts, axis=1)
         count = values[:, 0]
-        if n == 1:
+        if n == 1:  # sorted by number
             ranks = (keys // np.uint64(parts)).astype(np.int64)
             every = np.zeros((len(_opened(folder, f"w-{part}")[0]) + 1, 5), np.int64)
             every[ranks] = values
@@ -330,10 +385,14 @@ def _merge(folder: str, n: int, parts: int, most: int):
             _save_grams(folder, f"{n}-{part}", keys, values, parts)
             own = count > 0
             columns, count = [c[own] for c in columns], count[own]
-            ones = [(count == 1).astype(np.int64), (count == 2).astype(np.int64), (count > 2).astype(np.int64)]
-            for kind, some, more in ((100 + n - 1, columns[:-1], [count, *ones]), (n - 1, columns[1:], [np.ones(len(count), np.int64)])):
-                some, keys, more = _summed(some, more)
-                out += _dealt(kind, some, more, _part(some, keys, parts))
+            suffixes, times = _counted(columns[1:])
+            out += _sent(n - 1, suffixes, [times], parts)
+            # most n-grams are seen once, and their contexts need no sums
+            once, more = count == 1, count > 1
+            contexts, times = _counted([c[once] for c in columns[:-1]])
+            out += _sent(100 + n - 1, contexts, [times, times, times * 0, times * 0], parts)
+            contexts, _, counts = _summed([c[more] for c in columns[:-1]], [x[more].astype(np.int64) for x in (count, count == 1, count == 2, count > 2)])
+            out += _sent(100 + n - 1, contexts, counts, parts)
         out.append((-n, part, None, [int(x) for x in (*[(count == k).sum() for k in (1, 2, 3, 4)], (count > 2).sum(), count.sum(), 0)]))
         return pa.Table.from_batches([_rows(out)])
 
@@ -404,8 +463,13 @@ def fit_ngrams(docs: DataFrame, order: int = 2, parts: int | None = None) -> Ngr
 
     def ngrams(h, sizes):
         known, at = np.unique(h, return_inverse=True)
-        columns, keys, times = _summed(grams(_numbers(folder, parts, known)[0][at], sizes, order), [np.ones(len(h), np.int64)])
-        return _dealt(order, columns, times, _part(columns, keys, parts))
+        numbers = _numbers(folder, parts, known)[0]
+        by_number = np.argsort(numbers)
+        place = np.empty(len(known), np.uint64)  # places in the list of these numbers are smaller, in the same order
+        place[by_number] = np.arange(1, len(known) + 1, dtype=np.uint64)
+        columns, times = _counted(grams(place[at], sizes, order))
+        listed = np.r_[START, numbers[by_number]]
+        return _sent(order, [listed[c] for c in columns], [times], parts)
 
     every_part = spark.range(parts, numPartitions=min(parts, 64))
     model.train_tokens, model.distinct = (_figures(counted(words).groupBy("part").applyInArrow(_list_words(folder, parts), _BLOCKS)).get(1) or [0, 0])[:2]
@@ -428,23 +492,25 @@ def fit_ngrams(docs: DataFrame, order: int = 2, parts: int | None = None) -> Ngr
 def log_probabilities(model: NgramModel, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log10 probability and training count of each token."""
     words, back = np.unique(h, return_inverse=True)
-    ids, seen = (x[back] for x in _numbers(model.folder, model.parts, words))
+    numbers, seen = _numbers(model.folder, model.parts, words)
+    ids = numbers[back]
     first = np.cumsum(sizes) - sizes
     p = np.full(len(h), 1 / (model.distinct + 1))
-    few = None
+    total, spared = np.zeros(len(h)), np.zeros(len(h))
     for n in range(1, model.order + 1):
-        figures, d = _find(model, grams(ids, sizes, n)), model.discounts[n]
-        count = figures[:, 0]
-        kept = np.maximum(count - d[np.minimum(count, 3)], 0)
+        figures, of = (_find_words(model, numbers), back) if n == 1 else _find(model, grams(ids, sizes, n))
+        count, d = figures[:, 0], model.discounts[n]
+        kept = np.maximum(count - d[np.minimum(count, 3)], 0)[of]
         if n > 1:
-            total, n1, n2, n3 = few.T
-            p = np.where(total > 0, (kept + (d[1] * n1 + d[2] * n2 + d[3] * n3) * p) / np.maximum(total, 1), p)
+            p = np.where(total > 0, (kept + spared * p) / np.maximum(total, 1), p)
         elif model.total:
             p = (kept + model.spared / (model.distinct + 1)) / model.total
         if n < model.order:  # a token's context is the n-gram that ends before it
-            few = np.roll(figures[:, 1:], 1, axis=0)
-            few[first] = _find(model, [np.array([START])] * n)[:, 1:]
-    return np.log10(p), seen
+            total, spared = (np.roll(x[of], 1) for x in (figures[:, 1], figures[:, 2:] @ model.discounts[n + 1][1:]))
+            before = [np.array([START])] * n
+            start = (_find_words(model, *before) if n == 1 else _find(model, before)[0])[0]
+            total[first], spared[first] = start[1], start[2:] @ model.discounts[n + 1][1:]
+    return np.log10(p), seen[back]
 
 
 def score_ngrams(docs: DataFrame, model: NgramModel) -> DataFrame:
