@@ -91,3 +91,47 @@ def test_no_rows_and_few_candidates(spark):
     df = frame(spark, [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (100, [1.0, 1.0])])
     rows = neighbours.search(df, df.where("vec_id % 100 = 0"), neighbours.fit_partitions(df)).collect()
     assert sorted((r.query_id, r.rank, r.vec_id) for r in rows) == [(0, 1, 100), (0, 2, 1), (100, 1, 0), (100, 2, 1)]
+
+
+def test_large_partitions_are_split(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 4, (60, 12))
+    x = (centres[rng.integers(0, 60, 9000)] + rng.normal(0, 1, (9000, 12))).astype(np.float32)
+    x[1000:4000] = x[1000]  # a third are one vector: a partition that can't be split
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    df = frame(spark, rows).repartition(4)
+    asked = df.where("vec_id % 100 = 0")
+    model = neighbours.fit_partitions(df, sample=2_000)
+    found = neighbours.search(df, asked, model, split_rows=600).cache()
+    want, got = brute(rows), {}
+    for r in found.collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    assert got.keys() == want.keys() and all(len(v) == 10 for v in got.values())
+    assert all(got[q][i] == d for q in want for i, d in want[q] if i in got[q])
+    hits = sum(i in got[q] for q in want for i, _ in want[q]) / (10 * len(want))
+    assert hits >= 0.9
+    assert abs(neighbours.measured_recall(df, found, asked) - hits) < 1e-12
+    assert set(got[1100]) == set(range(1000, 1010)) and set(got[1000]) == set(range(1001, 1011))
+
+
+def test_a_split_visits_under_half(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(0, 4, (60, 12))
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate((centres[rng.integers(0, 60, 6000)] + rng.normal(0, 1, (6000, 12))).astype(np.float32))]
+    df = frame(spark, rows)
+    model = neighbours.fit_partitions(df, sample=2_000)
+    place = lambda v: spark.createDataFrame(v, "id long, v array<double>, part long")
+    home = model.probable(np.array([v for _, v in rows]), 1)[:, 0]
+    base = place([(i, v, neighbours.MOST_PARTITIONS + int(p)) for (i, v), p in zip(rows, home, strict=True)])
+    seen = [(i, v, neighbours.MOST_PARTITIONS + int(p)) for i, v in rows[::100] for p in model.probable(np.array([v]), model.visits)[0]]
+    leaves, asked = neighbours._split(base, place(seen), 0.97, 10, 0, 400)
+    sizes = {r.part: r["count"] for r in leaves.groupBy("part").count().collect()}
+    assert sum(sizes.values()) == len(rows) and len(sizes) > model.count and max(sizes.values()) <= 400
+    read = sum(sizes.get(r.part, 0) for r in asked.collect())
+    assert read < 0.5 * len(rows) * len(rows[::100])
+
+
+def test_recall_of_no_query_is_whole(spark):
+    none = frame(spark, []).limit(0)
+    found = neighbours.search(none, none, None)
+    assert neighbours.measured_recall(none, found, none) == 1.0
