@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from blockmill.llm.common import trimmed, written
+from blockmill.llm.common import temporary, trimmed, written
 
 SAMPLE, MOST_PARTITIONS, LEAST_IN_PARTITION = 8_192, 32, 128
 BASE_BLOCK, QUERY_BLOCK = 8_192, 4_096
@@ -310,6 +310,12 @@ def search(vectors: DataFrame, queries: DataFrame, model: Partitions | None, k:
     spark = vectors.sparkSession
     if model is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    with temporary() as keep:  # the index's tables go when the result is written
+        return keep(written(_found(vectors, queries, model, k, id_col, vector_col, split_rows), "ann-found"))
+
+
+def _found(vectors: DataFrame, queries: DataFrame, model: Partitions, k: int, id_col: str, vector_col: str, split_rows: int) -> DataFrame:
+    spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
     def placed(most: int, rows_of: np.ndarray | None = None, least: int = 0):
